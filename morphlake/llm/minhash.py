@@ -7,9 +7,10 @@ next level. Signatures are cut into bands; documents that share a band are candi
 full sets (100 * intersection >= 85 * union by default).
 
 Scale: rows with equal sets are folded into their smallest id before banding, so a group of exact copies costs one row.
-A bucket never lists its pairs: in each round its members meet one pivot (the member that shares the most buckets), and
-buckets that have become one component are done. What stays apart then meets the members of the other components, the
-signatures dropping hopeless pairs before any text moves. Texts move once by id (the same exchange serves both sides).
+A bucket never lists its pairs: its members first meet one pivot (the member that shares the most buckets), and a bucket
+that this makes one component is done. In the others, dealt to pairs of blocks of `block` members, the members outside
+the largest component meet those of other components inside the task; signatures drop hopeless pairs, each pair is tried
+in its first common bucket only, and a task gives no more links than a forest. Texts move once by id in either step.
 
 Misses: with `bands` of `rows` a pair at similarity 0.85 escapes all bands with probability (1 - 0.85**rows)**bands,
 1e-5 at the default 27 x 6.
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize, mix, shingle_sets, text_bytes
 
 BANDS, ROWS = 27, 6
+BLOCK = 2048
 PERCENT = 85
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FRAC = np.uint64((1 << 40) - 1)
@@ -133,51 +135,99 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
     return likely.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _verified(it, percent), f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pivot_rounds: int = 2) -> DataFrame:
+def _bucket_rows(batches: Iterator[pa.RecordBatch], percent: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Links that unite components in each run of equal (key, p, q): a forest of them, confirmed on full sets."""
+    kind, now, rows, out = None, None, [], ([], [])
+    names = ("key", "p", "q", "side", "band", "id", "comp", "n_shingles", "places", "bands", "text")
+    for b in batches:
+        kind = b.column("id").type
+        for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            if row[:3] != now:
+                _settle(rows, percent, least, out)
+                now, rows = row[:3], []
+            rows.append(row)
+    _settle(rows, percent, least, out)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], kind)], names=["a", "b"])
+
+
+def _settle(rows: list[tuple], percent: int, least: float, out: tuple[list, list]) -> None:
+    if len(rows) < 2:
+        return
+    across = rows[0][1] != rows[0][2]
+    side = np.array([r[3] for r in rows])
+    size = np.array([r[7] for r in rows])
+    places = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1)
+    bands = np.array([r[9] for r in rows], np.int64)
+    number = {c: i for i, c in enumerate(dict.fromkeys(r[6] for r in rows))}
+    comp = np.array([number[r[6]] for r in rows])
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            raw = np.frombuffer((rows[i][10] or "").encode("utf-8", "replace"), np.uint8)
+            sets[i] = next(shingle_sets(raw, np.array([0, len(raw)])))
+        return sets[i]
+
+    # rows outside the largest component meet all rows of other components, one row at a time
+    largest = np.bincount(comp).argmax()
+    first = comp != largest
+    for i in np.flatnonzero(first).tolist():
+        others = (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        others &= ~first | (np.arange(len(rows)) > i)
+        if across:
+            others &= side != side[i]
+        at = np.flatnonzero(others)
+        if not len(at):
+            continue
+        alike = (places[at] == places[i]).mean(axis=1)
+        # each pair is looked at in its first common band only
+        fit = (alike >= least) & ((bands[at] == bands[i]).argmax(axis=1) == rows[i][4])
+        for j in at[fit][np.argsort(-alike[fit], kind="stable")].tolist():
+            if comp[i] == comp[j]:
+                continue
+            x, y = set_of(i), set_of(j)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                comp[comp == comp[j]] = comp[i]
+                out[0].append(rows[i][5])
+                out[1].append(rows[j][5])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, kept): groups of documents linked by Jaccard similarity >= percent / 100."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(lambda it: signature_batches(it, bands, rows), f"id {kind}, n_shingles long, digest binary, bands array<long>, places binary"), "signed")
     named = signed.where("digest is not null and id is not null")
-    # copies: rows of one set, and one id's rows, hang on the smallest id of the set
+    # copies: rows of one set hang on its smallest id
     folded = named.groupBy("digest").agg(F.min("id").alias("rep"))
     copies = materialize(named.select("id", "digest").join(folded, "digest").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")), "copies")
     reps = materialize(named.join(folded, "digest").where("id = rep").dropDuplicates(["digest"]).select("id", "n_shingles", "bands", "places"), "reps")
 
-    banded = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
+    banded = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = materialize(banded.join(shared, "key").select("key", "id", "n_shingles", "c"), "members")
+    members = materialize(banded.join(shared, "key").select("key", "band", "id", "n_shingles", "c"), "members")
     weight = members.groupBy("id").agg(F.sum("c").alias("w"))
-    members = materialize(members.join(weight, "id").select("key", "id", "n_shingles", "w"), "members")
-
-    likewise = f"100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)"
-    pair = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
-    links = None
-    left, comp = members, None
-    for turn in range(pivot_rounds + 1):
-        if turn < pivot_rounds:
-            # each bucket's heaviest member (among those outside the settled part) meets all others
-            pivot = left.groupBy("key").agg(F.max(F.struct("w", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), *(["comp"] if comp else []))).alias("p"))
-            met = left.join(pivot.select("key", "p.id2", "p.n2", *([F.col("p.comp").alias("comp2")] if comp else [])), "key").where("id != id2")
-        else:
-            met = left.where("not main").alias("x").join(left.select("key", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("comp").alias("comp2"), F.col("main").alias("main2")), "key").where("id != id2 and (main2 or id < id2)")
-        if comp:
-            met = met.where("comp != comp2")
-        found = _confirm(met.where(likewise).select(*pair).distinct(), reps, texts, percent, bands * rows)
-        found = materialize(found, "links")
-        links = found if links is None else links.union(found)
-        comp = components(links)
-        if turn < pivot_rounds:
-            placed = members.join(comp, "id", "left").select("key", "id", "n_shingles", "w", F.coalesce("component", "id").alias("comp"))
-            placed = materialize(placed, "placed")
-            split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("w", "id", "comp")).alias("p")).where("lo != hi").select("key", F.col("p.comp").alias("of"))
-            left = placed.join(split, "key").withColumn("main", F.col("comp") == F.col("of")).drop("of")
-            if turn + 1 < pivot_rounds:
-                left = left.where("not main")
-            left = materialize(left, "left")
-            if left.isEmpty():
-                break
-    groups = components(links.union(copies).select("a", "b"))
+    members = materialize(members.join(weight, "id").select("key", "band", "id", "n_shingles", "w"), "members")
+
+    # each bucket's heaviest member meets all others
+    pivot = members.groupBy("key").agg(F.max(F.struct("w", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"))).alias("p")).select("key", "p.id2", "p.n2")
+    met = members.join(pivot, "key").where(f"id != id2 and 100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)")
+    met = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    links = materialize(_confirm(met, reps, texts, percent, bands * rows), "links")
+
+    # buckets that are not one component yet: their members of different components meet, in blocks
+    placed = materialize(members.join(components(links), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("comp")), "placed")
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("lo != hi").select("key", "blocks")
+    left = placed.join(split, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    left = left.select("key", "band", "id", "comp", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side")
+    left = left.join(reps, "id").join(texts.where("id is not null"), "id").select("key", "p", "q", "side", "band", "id", "comp", "n_shingles", "places", "bands", "text")
+    share = percent / 100
+    least = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5
+    more = left.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(lambda it: _bucket_rows(it, percent, least), f"a {kind}, b {kind}")
+
+    groups = components(links.union(more).union(copies).select("a", "b"))
     out = signed.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")).join(groups, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
 

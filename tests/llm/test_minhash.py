@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from morphlake.llm import minhash
 
@@ -52,10 +53,11 @@ def corpus(seed=3):
     return rows
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [2048, 16])
+def test_equals_brute_force(spark, block):
     rows = corpus()
     df = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, id long, key string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, block=block).collect()}
     assert got == brute(rows)
 
 
