@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, minhash, packing, quality, rp_forest, secret_scan, sharding, suffix_dedup
+from . import lang_id, minhash, packing, quality, rp_forest, secret_scan, sharding, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary file of this name lies; nothing of it is kept in the repository."""
     return importlib.import_module("public_tokenizers").path(name)
@@ -51,9 +55,18 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+WARC_SQL = """
+    with p as (select page_id, coalesce(html, '') as h from pages),
+    d as (select page_id, strlen(h)::bigint as payload_bytes, sha256(h) as payload_digest, min(page_id) over (partition by h) as first from p)
+    select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+        case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+    from d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_adaptive_quality": quality.oracle_sql()}
+    return {"op2_adaptive_quality": quality.oracle_sql(), "op3_warc_dictionary": WARC_SQL}
