@@ -44,8 +44,15 @@ def brute(rows):
                 gone[i][p : p + 200] = b"\1" * 200
     docs = {i: bytes(c for c, g in zip(b, gone[i], strict=True) if not g).decode("utf-8", "ignore") for i, b in data.items()}
     for i, t in docs.items():
-        for _, s, e in reversed(test_secret_scan.brute(t)):
-            docs[i] = docs[i][:s] + "[SECRET]" + docs[i][e:] if "[SECRET]" not in docs[i][s:] else docs[i]
+        spans = []
+        for _, s, e in test_secret_scan.brute(t):
+            if spans and s < spans[-1][1]:
+                spans[-1][1] = max(e, spans[-1][1])
+            else:
+                spans.append([s, e])
+        for s, e in reversed(spans):
+            t = t[:s] + "[SECRET]" + t[e:]
+        docs[i] = t
     return docs
 
 
