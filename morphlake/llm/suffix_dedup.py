@@ -93,7 +93,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
         texts = b.column("text").cast(pa.binary()).to_pylist()
         for digest, text, asked in zip(b.column("digest").to_pylist(), texts, b.column("asked").to_pylist(), strict=True):
             for a in asked:
-                pos = a["pos"]
+                pos, text = a["pos"], text or b""
                 lo = max(0, pos - before)
                 context = text[lo : pos + length]
                 for column, v in zip(out, (a["key"], a["salt"], a["hot"], digest, pos, pos - lo, context), strict=True):
@@ -332,7 +332,8 @@ def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     counted = texts.groupBy("__digest").agg(F.count("*").alias("copies"))
     counted = materialize(counted.withColumn("rid", F.monotonically_increasing_id()).withColumnRenamed("__digest", "digest"), "texts")
     # the one exchange of whole texts; every use below has these columns, so Spark reuses it
-    rows = texts.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__digest").alias("digest"))
+    others = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]
+    rows = texts.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.col("__digest").alias("digest"))
     one = rows.join(counted, "digest")
     keyed = one.select("row", "text", "rid").mapInArrow(lambda it: _anchor_rows((b.select(["text", "rid"]) for b in it), length, gram), "key long, rid long, pos int")
     often = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -352,7 +353,7 @@ def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     across = across.groupBy("key", "h").agg(F.sum("c").alias("c"), F.collect_list(F.when(F.col("c") == 1, F.struct("digest", "s"))).alias("x")).where("c > 1").select(F.explode("x").alias("x")).select("x.digest", "x.s", (F.col("x.s") + length).alias("e"))
     spans = local.union(across).groupBy("digest").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     known = counted.select("digest", "copies").join(spans, "digest", "left")
-    return rows.join(known, "digest").select("row.*", F.col("digest").alias("__digest"), F.col("copies").alias("__copies"), F.col("spans").alias("__spans"))
+    return rows.join(known, "digest").select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns], F.col("digest").alias("__digest"), F.col("copies").alias("__copies"), F.col("spans").alias("__spans"))
 
 
 def _cut(text: bytes, copies: int, spans: list | None, length: int) -> tuple[bytes, list[list[int]]]:
