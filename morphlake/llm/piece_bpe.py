@@ -122,14 +122,19 @@ _MODELS: dict[str, Model] = {}
 _MEMOS: dict[tuple, _Memo] = {}
 
 
+def model_of(path: str) -> Model:
+    """The worker's model of this file. A function, as closures sent to workers would hold an own copy of the dict."""
+    if path not in _MODELS:
+        _MODELS[path] = Model(path)
+    return _MODELS[path]
+
+
 def encode_text(text: str | None, path: str, seed: int, variant: int, rate: float) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint32)
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
     memo = _MEMOS.get((path, seed, variant, rate))
     if memo is None:
-        memo = _MEMOS[path, seed, variant, rate] = _Memo(_MODELS[path], seed, variant, rate)
+        memo = _MEMOS[path, seed, variant, rate] = _Memo(model_of(path), seed, variant, rate)
     return np.frombuffer(b"".join(map(memo.__getitem__, _UNIT.findall(" " + text))), "<u4")
 
 
@@ -156,8 +161,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     where = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _MODELS.setdefault(model_path, None) or Model(model_path)
-        _MODELS[model_path] = model
+        model = model_of(model_path)
         for b in batches:
             out = [None if x is None else model.decode(x) for x in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, text_col])
@@ -173,7 +177,7 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             out: list[list] = [[], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode_text(t, model_path, seed, variant_of(i, variants), rate)
-                same = _MODELS[model_path].decode(ids.tolist()) == t if t else True
+                same = model_of(model_path).decode(ids.tolist()) == t if t else True
                 for column, v in zip(out, (len(ids), zlib.crc32(ids.tobytes()), same), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["id", "n_ids", "ids_crc32", "lossless"])
