@@ -75,7 +75,8 @@ def dominant_neighbour(counts: DataFrame, ratio: int = 5, targets: DataFrame | N
     Ties: a deletion before a swap, a replacement, an insertion; then the word. Letters put in must be of the alphabet.
     """
     words = (targets.select("word").join(counts, "word") if targets is not None else counts).select("word", "count")
-    d = lambda df: df.select("word", "count", F.explode(edits.deletes(F.col("word"), 1)).alias("deletion"))
+    # one-letter words meet by the empty string too
+    d = lambda df: df.select("word", "count", F.explode(F.concat(edits.deletes(F.col("word"), 1), F.when(F.length("word") == 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))).alias("deletion"))
     pairs = d(words).join(d(counts).withColumnsRenamed({"word": "neighbour", "count": "neighbour_count"}), "deletion").where(f"word != neighbour and neighbour_count >= count * {ratio}").select("word", "neighbour", "neighbour_count").distinct()
     pairs = pairs.where(one_edit(F.col("word"), F.col("neighbour")))
     la, lb = F.length("word"), F.length("neighbour")
