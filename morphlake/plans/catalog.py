@@ -273,7 +273,7 @@ def fuzzy_candidates(spark, d):
 
 @query(f"""with {TOKENS}, x as (select word, count, unnest({DELETES}) as deletion from cnt), pr as (select distinct a.word, b.word as neighbour, b.count as c from x a join x b using (deletion) where a.word <> b.word and b.count >= a.count * 5),
     ok as (select *, case when length(neighbour) < length(word) then 0 when length(neighbour) = length(word) and list_sort(string_split(word, '')) = list_sort(string_split(neighbour, '')) then 1 when length(neighbour) = length(word) then 2 else 3 end as k from pr
-        where damerau_levenshtein(word, neighbour) = 1 and regexp_full_match(coalesce(array_to_string(list_filter(string_split(neighbour, ''), lambda x: not list_contains(string_split(word, ''), x)), ''), ''), '[a-z]*'))
+        where damerau_levenshtein(translate(word, 'ñï', '12'), translate(neighbour, 'ñï', '12')) = 1 and regexp_full_match(coalesce(array_to_string(list_filter(string_split(neighbour, ''), lambda x: not list_contains(string_split(word, ''), x)), ''), ''), '[a-z]*'))
     select word, arg_min({{'n': neighbour, 'c': c}}, (-c, k, neighbour)).n as neighbour, max(c) as neighbour_count from ok group by word""")
 def dominated_types(spark, d):
     return fuzzy.dominant_neighbour(counts(spark, d))
@@ -501,8 +501,8 @@ def sign_test(spark, d):
     return metrics.sign_test(metrics.paired(a, b))
 
 
-@query("""with r as (select quality = 0 as e, toxic = 0 as right, n_chars % 17 as gain from labels join documents using (doc_id)), m as (select unnest([6.0, 7.0, 8.0, 10.0]) as margin),
-    g as (select margin, count(*) filter (not e and gain >= margin) as false_flags, count(*) filter (not e) as clean, count(*) filter (e and gain >= margin and right) as caught, count(*) filter (e) as errors, count(*) filter (gain >= margin) as flags from r cross join m group by margin)
+@query("""with r as (select quality = 0 as e, toxic = 0 as good, n_chars % 17 as gain from labels join documents using (doc_id)), m as (select unnest([6.0, 7.0, 8.0, 10.0]) as margin),
+    g as (select margin, count(*) filter (not e and gain >= margin) as false_flags, count(*) filter (not e) as clean, count(*) filter (e and gain >= margin and good) as caught, count(*) filter (e) as errors, count(*) filter (gain >= margin) as flags from r cross join m group by margin)
     select margin::double as margin, false_flags, round(case when clean > 0 then false_flags / clean else 0 end, 6) as false_rate, round(case when errors > 0 then caught / errors else 0 end, 6) as recall, round(case when flags > 0 then caught / flags else 0 end, 6) as precision from g""")
 def margin_sweep(spark, d):
     r = read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id").select((F.col("quality") == 0).alias("is_error"), (F.col("toxic") == 0).alias("right"), (F.col("n_chars") % 17).alias("gain"))
