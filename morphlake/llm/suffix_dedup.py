@@ -33,7 +33,7 @@ from .common import chunks, materialize, mix, powers, text_bytes
 
 LENGTH = 200
 GRAM = 32
-BLOCK = 8192
+BLOCK = 1 << 16  # contexts of one task's group: about 25 MB of text, 50 MB as Python objects
 SHALLOW = 48
 PAIRWISE = 48
 
@@ -299,9 +299,7 @@ def _settled(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 
 def _stretches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The distinct stretches of each block of a hot anchor: (key, hash, 1 or 2 for more, digest, start of the first)."""
-    for key, hot, rows in _groups(batches):
-        if not hot:
-            continue
+    for key, _, rows in _groups(b.filter(b.column("hot")) for b in batches):
         found: dict[bytes, list] = {}
         for d, p, left, c in rows:
             for s in range(max(0, left - (length - gram)), min(left, len(c) - length) + 1):
