@@ -3,8 +3,11 @@
 Every tree splits by random directions at a median, each side also keeping what lies within the spill of the cut;
 vectors of one label that share a leaf are compared in double precision, each pair counted only in its first common leaf,
 links are united into components. The trees' medians come from a bounded sample (`sample` vectors); all vectors are
-placed. Depth follows from the largest label's size and `leaf`; spill and number of trees are those of least work for
-which a pair just at the threshold is missed with probability `miss` at most (`plan_forest` has the formula).
+placed. Depth, spill and number of trees are planned for isotropic vectors: those of least work for which a pair just at
+the threshold is missed with probability `miss` at most (`plan_forest` has the formula). Where vectors crowd, that formula
+doesn't hold: every node widens its spill by its own projections or stays a leaf (`grow_tree`), and trees are added until
+the share of the sample's own links that a tree was seen to part comes to `miss` (`build_forest`). That share is an
+estimate: a group too small to show in the sample has the plan's probability only.
 
 Scale: equal vectors of a label are folded and weigh as many as they are. A leaf larger than `block` is dealt to pairs of
 blocks, so no task holds more than two blocks. A leaf gives counts and a spanning forest, never its pairs.
@@ -64,7 +67,8 @@ def plan_forest(largest: int, dim: int, threshold: float, leaf: int, miss: float
 
     Two unit vectors at the threshold differ by d = sqrt(2 - 2 * threshold). Along a random direction the difference is
     about normal with sigma d / sqrt(dim), positions with 1 / sqrt(dim). A level parts the pair where the cut falls
-    between them and both lie outside the spill: about E max(|x| - 2 * spill, 0) times the density at the median.
+    between them and both lie outside the spill: about E max(|x| - 2 * spill, 0) times the density at the median. That
+    density is the isotropic one; `build_forest` sees to groups that are denser.
     """
     if largest <= leaf:
         return 0, 1, 0.0
@@ -84,27 +88,96 @@ def plan_forest(largest: int, dim: int, threshold: float, leaf: int, miss: float
     return best[1:]
 
 
-def build_forest(sample: np.ndarray, depth: int, trees: int, spill: float, seed: int) -> list[list]:
-    """Trees as nested [direction, cut, left, right]; a leaf is its number. Ends early where the sample is too thin to cut."""
-    out, number = [], 0
+_GRID = np.linspace(0.0, 8.0, 2001)
+_TAIL = np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in _GRID])  # of the normal distribution
+_SPILLS = (0.0, 0.125, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5)  # in sigmas of the difference of a pair at the threshold
 
-    def grow(rows: np.ndarray, left: int, rng: np.random.Generator):
-        nonlocal number
-        if not left or len(rows) < 8:
-            number += 1
-            return number - 1
-        r = rng.standard_normal(sample.shape[1])
-        r /= np.sqrt(r @ r)
-        p = sample[rows] @ r
-        cut = float(np.median(p))
-        return [r, cut, grow(rows[p <= cut + spill], left - 1, rng), grow(rows[p > cut - spill], left - 1, rng)]
 
-    for t in range(trees):
-        out.append(grow(np.arange(len(sample)), depth, np.random.default_rng((seed, t))))
-    return out
+def _parted(away: np.ndarray, spill: float, sigma: float) -> float:
+    """Share of the links at the threshold that a cut parts, for rows at these distances from it."""
+    return float(np.where(away > spill, np.interp((away + spill) / sigma, _GRID, _TAIL), 0.0).mean())
+
 
+def grow_tree(sample: np.ndarray, depth: int, spill: float, sigma: float, part: float, tight: float, scale: float, leaf: int, rng: np.random.Generator, number: int) -> tuple[list | int, int]:
+    """(tree, next leaf number): nested [direction, cut, spill, left, right]; a leaf is its number.
+
+    Every node takes its cut's density from its own projections: its spill is the planned one if the cut then parts at most
+    `part` of the links, else the first wider one with which it parts at most `tight`. A node that no such spill splits well
+    (most of its rows would go to both sides: a group of near copies) stays a leaf, which is dealt to pairs of blocks and
+    loses nothing.
+    """
 
-def leaves_of(vectors: np.ndarray, forest: list, spill: float) -> list[list[int]]:
+    def grow(rows: np.ndarray, left: int) -> list | int:
+        nonlocal number
+        if left and len(rows) >= 8 and len(rows) * scale > leaf:
+            r = rng.standard_normal(sample.shape[1])
+            r /= np.sqrt(r @ r)
+            p = sample[rows] @ r
+            cut = float(np.median(p))
+            away = np.abs(p - cut)
+            wide = spill
+            if _parted(away, spill, sigma) > part:
+                wide = next((k * sigma for k in _SPILLS if k * sigma > spill and _parted(away, k * sigma, sigma) <= tight), None)
+            if wide is not None and (away <= wide).mean() <= 0.5:
+                return [r, cut, wide, grow(rows[p <= cut + wide], left - 1), grow(rows[p > cut - wide], left - 1)]
+        number += 1
+        return number - 1
+
+    return grow(np.arange(len(sample)), depth), number
+
+
+def _probes(sample: np.ndarray, threshold: float, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows, partners) to measure a tree by, one entry for each order of magnitude of a row's number of links in the
+    sample: the links of least cosine of some rows, and for all of them made-up partners just at the threshold."""
+    at = rng.choice(len(sample), min(768, len(sample)), replace=False)
+    made = rng.standard_normal((len(at), sample.shape[1]))
+    made -= (made * sample[at]).sum(axis=1, keepdims=True) * sample[at]
+    made /= np.maximum(np.sqrt((made * made).sum(axis=1, keepdims=True)), 1e-300)
+    out = [(sample[at], threshold * sample[at] + math.sqrt(max(0.0, 1 - threshold * threshold)) * made)]
+    strata: dict[int, list[tuple[int, int]]] = {}
+    for i in at.tolist():
+        cos = sample @ sample[i]
+        near = np.flatnonzero(cos >= threshold)
+        near = near[near != i]
+        if len(near):
+            least = near[np.argsort(cos[near], kind="stable")[:8]]
+            strata.setdefault(len(near).bit_length() // 2, []).extend((i, j) for j in least.tolist())
+    return out + [(sample[[i for i, _ in own]], sample[[j for _, j in own]]) for own in strata.values() if len(own) >= 16]
+
+
+def build_forest(sample: np.ndarray, plan: tuple[int, int, float], n: int, threshold: float, leaf: int, miss: float, seed: int) -> list:
+    """As many trees as the plan has, or more where those of the sample's own links that a tree was seen to part ask for it.
+
+    Some trees are tried for several values of `tight`; the one with the least rows to compare, over all trees, is taken.
+    """
+    depth, trees, spill = plan
+    sigma = math.sqrt(2 - 2 * threshold) / math.sqrt(sample.shape[1])
+    scale = n / len(sample)
+    isotropic = np.abs(np.random.default_rng(seed).standard_normal(4096)) / math.sqrt(sample.shape[1])
+    part = max(1.25 * _parted(isotropic, spill, sigma), 1e-4)
+    probes = _probes(sample, threshold, np.random.default_rng((seed, 1 << 20)))
+    best = None
+    for tight in (part, part / 8, part / 64, 0.0):
+        forest, lost, work, number = [], [], 0.0, 0
+        for t in range(min(trees, 12)):
+            tree, number = grow_tree(sample, depth + 8, spill, sigma, part, tight, scale, leaf, np.random.default_rng((seed, t)), number)
+            forest.append(tree)
+            lost.append([np.mean([set(a).isdisjoint(b) for a, b in zip(leaves_of(x, [tree]), leaves_of(y, [tree]), strict=True)]) for x, y in probes])
+            _, sizes = np.unique(np.concatenate(leaves_of(sample[:4000], [tree])), return_counts=True)
+            work += float((sizes * np.ceil(sizes * scale * len(sample) / min(len(sample), 4000) / BLOCK)).sum())
+        # the highest share lost in a tree, two standard errors up
+        worst = min(0.95, float((np.mean(lost, axis=0) + 2 * np.std(lost, axis=0) / math.sqrt(len(lost))).max()))
+        need = max(trees, math.ceil(math.log(miss) / math.log(worst)) if worst > miss else 1)
+        if best is None or work / len(forest) * need < best[0]:
+            best = (work / len(forest) * need, tight, need, forest, number)
+    _, tight, need, forest, number = best
+    for t in range(len(forest), need):
+        tree, number = grow_tree(sample, depth + 8, spill, sigma, part, tight, scale, leaf, np.random.default_rng((seed, t)), number)
+        forest.append(tree)
+    return forest
+
+
+def leaves_of(vectors: np.ndarray, forest: list) -> list[list[int]]:
     """For each vector the ascending numbers of its leaves in all trees."""
     out: list[list[int]] = [[] for _ in range(len(vectors))]
 
@@ -115,7 +188,7 @@ def leaves_of(vectors: np.ndarray, forest: list, spill: float) -> list[list[int]
             for i in rows.tolist():
                 out[i].append(node)
             return
-        r, cut, left, right = node
+        r, cut, spill, left, right = node
         p = vectors[rows] @ r
         down(left, rows[p <= cut + spill])
         down(right, rows[p > cut - spill])
@@ -209,17 +282,17 @@ def near_duplicates(
     placed = None
     for r in sizes.collect():
         own = reps.where(F.col("dim") == r.dim)
-        depth, trees, spill = plan_forest(r.n, r.dim, threshold, leaf, miss)
+        plan = plan_forest(r.n, r.dim, threshold, leaf, miss)
         forest: list = [0]
-        if depth:
+        if plan[0]:
             taken = own.select("unit").orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # bounded by `sample`
-            forest = build_forest(np.frombuffer(b"".join(bytes(t.unit) for t in taken), "<f8").reshape(-1, r.dim), depth, trees, spill, seed)
+            forest = build_forest(np.frombuffer(b"".join(bytes(t.unit) for t in taken), "<f8").reshape(-1, r.dim), plan, r.n, threshold, leaf, miss, seed)
 
-        def place(batches: Iterator[pa.RecordBatch], forest=forest, spill=spill, dim=r.dim) -> Iterator[pa.RecordBatch]:
+        def place(batches: Iterator[pa.RecordBatch], forest=forest, dim=r.dim) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     x = np.frombuffer(b"".join(b.column("unit").to_pylist()), "<f8").reshape(-1, dim)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves_of(x, forest, spill), pa.list_(pa.int64()))], names=[*b.schema.names, "leaves"])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves_of(x, forest), pa.list_(pa.int64()))], names=[*b.schema.names, "leaves"])
 
         part = own.select("id", "label", "dim", "unit", "weight").mapInArrow(place, f"id {kind}, label {label_kind}, dim int, unit binary, weight long, leaves array<long>")
         placed = part if placed is None else placed.union(part)

@@ -63,3 +63,21 @@ def test_plan_keeps_misses_small():
     for n in (10**4, 10**6, 10**9):
         depth, trees, spill = R.plan_forest(n, 64, 0.93, 512, 1e-6)
         assert depth >= 4 and 2 <= trees < 400 and spill >= 0
+
+
+@pytest.mark.parametrize("share", [0.05, 0.33, 0.6])
+def test_hot_group_of_near_copies(spark, share):
+    """Members of the group have cosines of 0.93 to 0.95; no link of theirs is lost to cuts through the group."""
+    rng = np.random.default_rng(5)
+    n, dim = 4000, 64
+    x = rng.standard_normal((n, dim)) / np.sqrt(dim)
+    hot = int(n * share)
+    x[:hot] = x[0] / np.sqrt(x[0] @ x[0]) + np.sqrt(1 / 0.94 - 1) * x[n - hot :][rng.permutation(hot)]
+    x = x.astype(np.float32).astype(np.float64)
+    unit = np.array([v / np.sqrt(v @ v) for v in x])
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near.sum() > 0.5 * hot * hot
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in R.near_duplicates(df, leaf=64).collect()}
+    assert [got[i] for i in range(n)] == near.sum(axis=1).tolist()
