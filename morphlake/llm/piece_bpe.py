@@ -2,11 +2,11 @@
 
 The pieces, scores and byte pieces come from a public SentencePiece model. A text becomes units (spaces and what follows
 up to the next space; no piece crosses that), a unit its characters, and an agenda merges the pair with the best score,
-the leftmost first. Dropout: a candidate that comes up is skipped when a keyed hash of (seed, variant, unit, place, length)
-falls below the rate, so a seed fixes every segmentation, on any machine and in any order, and seeds or variants vary it.
-A document's variant is a hash of its id; `variants` bounds how many there are, so that frequent units are segmented once
-in each and then remembered (a bounded memo). Characters without a piece fall back to bytes; so does a literal U+2581,
-which keeps decoding lossless.
+the leftmost first. Dropout: a candidate that comes up is skipped when a keyed hash of (seed, document id, unit, number of
+the unit in the text, place, length) falls below the rate, so a seed fixes every segmentation, on any machine and in any
+order, and every occurrence of a unit draws anew, within a text as over texts. A bounded memo holds no draws: it has each
+unit's candidates (a tree by what was dropped before), against which an occurrence's hashes are held. Characters without a
+piece fall back to bytes; so does a literal U+2581, which keeps decoding lossless.
 
 Null and empty texts have no ids. Any text of any length decodes to itself. Repeated rows are encoded each; an empty table
 gives no rows; more columns are not read. At rate 0 the ids equal the library's.
@@ -25,16 +25,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 RATE = 0.1
-VARIANTS = 4
 SEED = 1
-MEMO = 200_000  # units remembered for each variant in a worker
+MEMO = 200_000  # units remembered in a worker
+MEMO_NODES = 1_000_000  # candidates remembered in a worker
 MEMO_UNIT = 48  # characters of the longest remembered unit
 SPACE = "▁"
 _UNIT = re.compile(" *[^ ]+| +")
 _M = (1 << 64) - 1
 
 
+def _drawn(base: int, candidate: int) -> int:
+    h = base ^ candidate
+    h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & _M
+    return ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & _M
+
+
 class Model:
     """Pieces of a SentencePiece BPE model: ranks for merging, ids, bytes of each id."""
 
@@ -56,12 +64,16 @@ class Model:
 
     def segment(self, unit: str, seed: int = SEED, variant: int = 0, rate: float = RATE) -> list[int]:
         """Ids of one unit (with plain spaces)."""
+        limit = int(rate * (1 << 64))
+        return self.merge(unit, xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), (seed * 0x9E3779B1 + variant) & _M) if limit else 0, limit)
+
+    def merge(self, unit: str, base: int, limit: int, trace: list[tuple[int, bool]] | None = None) -> list[int]:
+        """Ids of one unit; a candidate whose hash with `base` is below `limit` is dropped. `trace` takes (candidate, dropped)."""
         # a literal U+2581 is put out of reach of all pieces, so it ends as bytes
         symbols: list[str | None] = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in unit]
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        score, limit = self.score, int(rate * (1 << 64))
-        base = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), (seed * 0x9E3779B1 + variant) & _M) if limit else 0
+        score = self.score
         agenda: list[tuple[float, int, int, str]] = []
 
         def offer(i: int, j: int) -> None:
@@ -75,10 +87,12 @@ class Model:
             _, i, j, piece = heapq.heappop(agenda)
             if symbols[i] is None or after[i] != j or symbols[j] is None or symbols[i] + symbols[j] != piece:
                 continue
-            if limit:
-                h = (base ^ (i * 0x9E3779B97F4A7C15 + len(piece) * 0xC2B2AE3D27D4EB4F)) & _M
-                h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & _M
-                if ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & _M < limit:
+            if limit or trace is not None:
+                candidate = (i * 0x9E3779B97F4A7C15 + len(piece) * 0xC2B2AE3D27D4EB4F) & _M
+                dropped = _drawn(base, candidate) < limit
+                if trace is not None:
+                    trace.append((candidate, dropped))
+                if dropped:
                     continue
             symbols[i], symbols[j] = piece, None
             after[i] = after[j]
@@ -102,21 +116,47 @@ class Model:
 
 
 class _Memo(dict):
-    """Encoded units of one variant."""
+    """By unit: (its hash, the candidates where none is dropped, the ids then, a tree of candidates by what was dropped).
+
+    A tree's node is [candidate, node or ids where it is kept, node or ids where it is dropped], None where not yet seen.
+    """
 
-    def __init__(self, model: Model, seed: int, variant: int, rate: float):
+    def __init__(self, model: Model, limit: int):
         super().__init__()
-        self.of = model, seed, variant, rate
-
-    def __missing__(self, unit: str) -> bytes:
-        model, *key = self.of
-        out = np.array(model.segment(unit, *key), "<u4").tobytes()
-        if len(unit) <= MEMO_UNIT:
-            if len(self) >= MEMO:
-                self.clear()
-            self[unit] = out
+        self.model, self.limit, self.nodes = model, limit, 0
+
+    def __missing__(self, unit: str) -> tuple[bytes, bytes, bytes, list]:
+        key = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass")).to_bytes(8, "little")
+        if len(unit) > MEMO_UNIT:
+            return key, b"", b"", []  # segmented at each occurrence
+        trace: list[tuple[int, bool]] = []
+        ids = np.array(self.model.merge(unit, 0, 0, trace), "<u4").tobytes()
+        if len(self) >= MEMO or self.nodes >= MEMO_NODES:
+            self.clear()
+            self.nodes = 0
+        self[unit] = out = key, np.array([c for c, _ in trace], "<u8").tobytes(), ids, [0, None, None]
         return out
 
+    def varied(self, unit: str, base: int, tree: list) -> bytes:
+        """The ids of one occurrence."""
+        if not tree:
+            return np.array(self.model.merge(unit, base, self.limit), "<u4").tobytes()
+        node, side = tree, 1
+        while (child := node[side]) is not None:
+            if isinstance(child, bytes):
+                return child
+            node, side = child, 2 if _drawn(base, child[0]) < self.limit else 1
+        trace: list[tuple[int, bool]] = []
+        ids = np.array(self.model.merge(unit, base, self.limit, trace), "<u4").tobytes()
+        node, side = tree, 1
+        for candidate, dropped in trace:
+            if node[side] is None:
+                node[side] = [candidate, None, None]
+                self.nodes += 1
+            node, side = node[side], 2 if dropped else 1
+        node[side] = ids
+        return ids
+
 
 _MODELS: dict[str, Model] = {}
 _MEMOS: dict[tuple, _Memo] = {}
@@ -129,25 +169,46 @@ def model_of(path: str) -> Model:
     return _MODELS[path]
 
 
-def encode_text(text: str | None, path: str, seed: int, variant: int, rate: float) -> np.ndarray:
+def encode_text(text: str | None, path: str, seed: int, document: int, rate: float) -> np.ndarray:
+    """The ids of the text; `document` is a key of the document, by which its draws differ from others'."""
     if not text:
         return np.zeros(0, np.uint32)
-    memo = _MEMOS.get((path, seed, variant, rate))
+    limit = int(rate * (1 << 64))
+    memo = _MEMOS.get((path, limit))
     if memo is None:
-        memo = _MEMOS[path, seed, variant, rate] = _Memo(model_of(path), seed, variant, rate)
-    return np.frombuffer(b"".join(map(memo.__getitem__, _UNIT.findall(" " + text))), "<u4")
-
-
-def variant_of(id_: object, variants: int) -> int:
-    return xxhash.xxh3_64_intdigest(str(id_)) % variants
-
-
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
+        memo = _MEMOS[path, limit] = _Memo(model_of(path), limit)
+    units = _UNIT.findall(" " + text)
+    known = [memo[u] for u in units]
+    out = [k[2] for k in known]
+    # every occurrence has a base of its own; those without a dropped candidate have the remembered ids
+    start = np.uint64(xxhash.xxh3_64_intdigest(document.to_bytes(8, "little"), seed & _M))
+    bases = mix(np.frombuffer(b"".join(k[0] for k in known), "<u8") ^ mix(start + np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    candidates = np.frombuffer(b"".join(k[1] for k in known), "<u8")
+    owner = np.repeat(np.arange(len(units)), np.fromiter((len(k[1]) for k in known), np.int64, len(known)) // 8)
+    h = bases[owner] ^ candidates
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    again = np.zeros(len(units), bool)
+    if limit > _M:
+        again[owner] = True
+    elif limit:
+        again[owner[h < np.uint64(limit)]] = True
+    again |= np.fromiter((not k[3] for k in known), bool, len(known))
+    for i in np.flatnonzero(again).tolist():
+        out[i] = memo.varied(units[i], int(bases[i]), known[i][3])
+    return np.frombuffer(b"".join(out), "<u4")
+
+
+def document_key(id_: object) -> int:
+    return xxhash.xxh3_64_intdigest(str(id_))
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float = RATE) -> DataFrame:
     """(id, ids array<int>) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [encode_text(t, model_path, seed, variant_of(i, variants), rate).astype(np.int32) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            ids = [encode_text(t, model_path, seed, document_key(i), rate).astype(np.int32) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -169,14 +230,14 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
-def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
+def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: float = RATE) -> DataFrame:
     """(id, n_ids, ids_crc32, lossless): digests of the ids (little-endian unsigned 32-bit) and whether they decode to the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode_text(t, model_path, seed, variant_of(i, variants), rate)
+                ids = encode_text(t, model_path, seed, document_key(i), rate)
                 same = model_of(model_path).decode(ids.tolist()) == t if t else True
                 for column, v in zip(out, (len(ids), zlib.crc32(ids.tobytes()), same), strict=True):
                     column.append(v)

@@ -65,3 +65,35 @@ def test_round_trip(spark):
     crc = {(r.doc_id, zlib.crc32(np.array(r.ids, "<u4").tobytes()), len(r.ids), True) for r in made.collect()}
     assert crc == {(r.doc_id, r.ids_crc32, r.n_ids, r.lossless) for r in P.digest(df, PATH).collect()}
     assert P.digest(df.limit(0), PATH).count() == 0
+
+
+def test_every_occurrence_and_document_draws_anew(spark):
+    model = P.Model(PATH)
+    word, n = " internationalization", 2000
+    ids = P.encode_text((word * n)[1:], PATH, 1, 7, 0.3).tolist()
+    cut, own = [], []
+    for i in ids:
+        own.append(i)
+        if model.decode(own) == word.strip():
+            cut.append(tuple(own))
+            own = []
+    assert len(cut) == n and len(set(cut)) > 50
+    rate = 0.1
+    plain = tuple(model.segment(" word", rate=0.0))
+    many = P.encode_text(("word " * 40_000)[:-1], PATH, 1, 7, rate).tolist()
+    assert model.decode(many) == ("word " * 40_000)[:-1] and len(many) > 40_000 * len(plain) * 1.05
+    df = spark.createDataFrame([(i, "internationalization responsibilities") for i in range(200)], "doc_id long, text string").repartition(3)
+    assert len({tuple(r.ids) for r in P.encode(df, PATH).collect()}) > 20
+
+
+def test_memo_changes_nothing():
+    """The ids of a text do not depend on what was encoded before it."""
+    text = " ".join(["the internationalization of responsibilities"] * 50)
+    first = P.encode_text(text, PATH, 3, 9, 0.3).tolist()
+    assert first == P.encode_text(text, PATH, 3, 9, 0.3).tolist()
+    for t in texts(40):
+        P.encode_text(t, PATH, 3, 10, 0.3)
+    assert first == P.encode_text(text, PATH, 3, 9, 0.3).tolist()
+    P._MEMOS.clear()
+    assert first == P.encode_text(text, PATH, 3, 9, 0.3).tolist()
+    assert first != P.encode_text(text, PATH, 3, 10, 0.3).tolist() != P.encode_text(text, PATH, 4, 10, 0.3).tolist()
