@@ -84,3 +84,19 @@ def test_entry_without_these_folders(tmp_path):
     subprocess.run(["rm", "-r", f"{tmp_path}/morphlake/llm"], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(re.match(r'op\\d', n) for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", "import re; " + code], cwd=tmp_path, check=True)
+
+
+def test_near_dedup_takes_pairs_from_four_fifths(spark):
+    rng = random.Random(4)
+    rows, shares = [], []
+    for i, changed in enumerate([5, 6, 6, 5, 6, 8, 9]):
+        words = ["w%d" % rng.randrange(9000) for _ in range(300)]
+        other = list(words)
+        for k in range(changed):
+            other[20 + 30 * k] = "changed%d" % k
+        a, b = ({tuple(x[j : j + 5]) for j in range(296)} for x in (words, other))
+        shares.append(len(a & b) / len(a | b))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    assert all(0.8 < x < 0.85 for x in shares[:5]) and all(x < 0.8 for x in shares[5:])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2, 4, 6, 8, 10, 11, 12, 13]
