@@ -3,7 +3,7 @@
 Fitting takes the texts of at most `per_language` labelled rows of each language (the documented bound; those with the
 least hash of their id), finds the distinct n-grams of each (code points, lower-cased, white space folded) and, for the
 n-grams that at least `floor` of the sampled rows of that language hold, sets the language's bit in `hashes` slots. A
-lookup is the AND of the slots: a bitmask of all languages that hold the n-gram. A text's counts by language are popcounts
+lookup is the AND of the slots: a bitmask of all languages that hold the n-gram, in as many words of 64 bits as it takes. A text's counts by language are popcounts
 over the masks of its n-grams, corrected for the share of false positives that each filter's fill implies; n-grams that
 every language holds say nothing and drop out. The language with the highest corrected count wins, ties by its name.
 
@@ -29,7 +29,7 @@ SLOTS = 1 << 21
 HASHES = 2
 FLOOR = 3
 UND = "und"
-MAX_LANGUAGES = 64
+WORD = 64  # languages in a mask word
 
 
 def code_points(text: str) -> np.ndarray:
@@ -58,38 +58,42 @@ class Model:
         self.names, self.slots, self.hashes = names, slots, hashes
         self.default = default or (names[0] if names else UND)
         kind = np.uint8 if len(names) <= 8 else np.uint16 if len(names) <= 16 else np.uint32 if len(names) <= 32 else np.uint64
-        self.table = np.zeros(slots, kind)
-        for bit, own in enumerate(grams):
+        self.tables = [np.zeros(slots, kind) for _ in range(max(1, -(-len(names) // WORD)))]
+        for i, own in enumerate(grams):
             for k in range(hashes):
-                np.bitwise_or.at(self.table, self._slot(own, k), kind(1 << bit))
+                np.bitwise_or.at(self.tables[i // WORD], self._slot(own, k), kind(1 << i % WORD))
         self.kind = kind
-        self.false = np.array([((self.table >> kind(bit)) & kind(1)).mean() ** hashes for bit in range(len(names))])
+        self.false = np.array([((self.tables[i // WORD] >> kind(i % WORD)) & kind(1)).mean() ** hashes for i in range(len(names))])
 
     def _slot(self, h: np.ndarray, k: int) -> np.ndarray:
         return ((h if k == 0 else mix(h + np.uint64(k))) & np.uint64(self.slots - 1)).astype(np.int64)
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        """The bitmask of the languages that hold each n-gram (or seem to)."""
-        out = self.table[self._slot(h, 0)]
+    def masks(self, h: np.ndarray, word: int = 0) -> np.ndarray:
+        """The bitmask of the languages that hold each n-gram (or seem to): this word of it."""
+        out = self.tables[word][self._slot(h, 0)]
         for k in range(1, self.hashes):
             some = np.flatnonzero(out)
-            out[some] &= self.table[self._slot(h[some], k)]
+            out[some] &= self.tables[word][self._slot(h[some], k)]
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.names or not any(map(str.isalpha, text)):
             return UND, 0.0
-        masks = self.masks(gram_hashes(code_points(text)))
-        n, langs = len(masks), len(self.names)
+        h = gram_hashes(code_points(text))
+        n, langs = len(h), len(self.names)
         if langs <= 8:
+            masks = self.masks(h)
             tally = np.bincount(masks, minlength=1 << langs)
             which = np.arange(len(tally))
             tally[-1 if langs > 1 else 0] = 0  # all languages: says nothing
             counts = np.array([tally[(which >> bit) & 1 == 1].sum() for bit in range(langs)])
         else:
-            full = self.kind((1 << langs) - 1)
-            masks = masks[masks != full]
-            counts = np.array([((masks >> self.kind(bit)) & self.kind(1)).sum() for bit in range(langs)])
+            words = [self.masks(h, w) for w in range(len(self.tables))]
+            some = np.zeros(n, bool)  # not all languages
+            for w, masks in enumerate(words):
+                some |= masks != self.kind((1 << min(WORD, langs - w * WORD)) - 1)
+            words = [masks[some] for masks in words]
+            counts = np.array([((words[i // WORD] >> self.kind(i % WORD)) & self.kind(1)).sum() for i in range(langs)])
         right = np.maximum((counts - n * self.false) / (1 - np.minimum(self.false, 0.999)), 0.0)
         total = right.sum()
         if total <= 0:
@@ -103,7 +107,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     from pyspark.sql import Window
 
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}  # a row for each language
     if not counts:
         return Model([], [])
     # the least hashes of each language: a threshold a little above the bound's share leaves few rows to rank

@@ -56,3 +56,19 @@ def test_keep_known_and_empty(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(60))
     assert L.identify(df.limit(0)).count() == 0 and L.keep_known(df.limit(0)).count() == 0
     assert {r.lang_pred for r in L.identify(df.where("lang is null")).collect()} <= {"und"}
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    """70 languages with alphabets of their own: the rarest are learned as well."""
+    langs = [f"l{i:02}" for i in range(70)]
+    rng = random.Random(7)
+    text = lambda i: " ".join("".join(chr(0x4E00 + 20 * i + rng.randrange(12)) for _ in range(4)) for _ in range(30))
+    data = [(i, text(i), lang) for i, lang in enumerate(langs) for _ in range(6 if i < 64 else 4)]
+    df = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(data)], "doc_id long, text string, lang string")
+    model = L.fit(df, slots=1 << 16)
+    assert model.names == langs and len(model.tables) == 2
+    assert [model.predict(text(i))[0] for i in range(70)] == langs
+    rng2 = np.random.default_rng(3)
+    grams = [np.unique(rng2.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(130)]
+    wide = L.Model([f"l{i:03}" for i in range(130)], grams, 1 << 16)
+    assert all((wide.masks(own, i // 64) >> np.uint64(i % 64) & np.uint64(1)).all() for i, own in enumerate(grams))
