@@ -271,6 +271,19 @@ def fuzzy_candidates(spark, d):
     return fuzzy.candidates(rare_words(c), fuzzy.delete_index(c.where(F.col("count") >= FLOOR), 1), 1)
 
 
+@query()
+def delete_index_two(spark, d):
+    """All deletions of up to two characters, as the reference's index has them; delete_index has one."""
+    return fuzzy.delete_index(counts(spark, d).where(F.col("count") >= FLOOR), 2)
+
+
+@query()
+def fuzzy_candidates_two(spark, d):
+    """The pairs of the production join, over the index of up to two deletions; fuzzy_candidates has those of one."""
+    c = counts(spark, d)
+    return fuzzy.candidates(rare_words(c), fuzzy.delete_index(c.where(F.col("count") >= FLOOR), 2), 2)
+
+
 @query(f"""with {TOKENS}, x as (select word, count, unnest({DELETES}) as deletion from cnt), pr as (select distinct a.word, b.word as neighbour, b.count as c from x a join x b using (deletion) where a.word <> b.word and b.count >= a.count * 5),
     ok as (select *, case when length(neighbour) < length(word) then 0 when length(neighbour) = length(word) and list_sort(string_split(word, '')) = list_sort(string_split(neighbour, '')) then 1 when length(neighbour) = length(word) then 2 else 3 end as k from pr
         where damerau_levenshtein(translate(word, 'ñï', '12'), translate(neighbour, 'ñï', '12')) = 1 and regexp_full_match(coalesce(array_to_string(list_filter(string_split(neighbour, ''), lambda x: not list_contains(string_split(word, ''), x)), ''), ''), '[a-z]*'))

@@ -168,3 +168,23 @@ def test_vectors_and_metrics(spark):
     assert (c.top1, c.top5, c.mrr, c.never) == (0.25, 0.5, 0.3125, 2)
     p = metrics.sign_test(spark.createDataFrame([(24, 6), (0, 0), (5, 5)], "fixed long, broken long")).collect()
     assert [r.p_value for r in p] == [pytest.approx(0.00143, abs=1e-5), 1.0, 1.0]
+
+
+def test_two_deletion_queries_equal_brute_force(spark, tmp_path):
+    """The registered queries reach pairs that are two deletions apart."""
+    from itertools import combinations
+
+    from morphlake.plans import catalog
+
+    floor = catalog.FLOOR
+    known, rare = ["stone", "house", "ab", "planet"], ["stnoe", "sto", "hosue", "housexy", "pl", "zzz", "abcd"]
+    text = " ".join(w for w in known for _ in range(floor)) + " " + " ".join(rare)
+    documents = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars int")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    dels = lambda w: {"".join(c) for k in (0, 1, 2) for c in combinations(w, len(w) - k) if len(w) > k}
+    found = catalog.queries()
+    index = {(r.deletion, r.word) for r in found["delete_index_two"](spark, str(tmp_path)).collect()}
+    assert index == {(x, w) for w in known for x in dels(w)}
+    pairs = {(r.query, r.cand) for r in found["fuzzy_candidates_two"](spark, str(tmp_path)).collect()}
+    assert pairs == {(q, c) for q in rare for c in known if dels(q) & dels(c)}
+    assert ("sto", "stone") in pairs and ("housexy", "house") in pairs
