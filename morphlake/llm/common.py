@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:  # only where the session names none, as in tests
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="morphlake-"))
         where = _OWN[0]
@@ -35,6 +38,14 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- words in Arrow batches
 
 _SPACE = np.zeros(256, np.bool_)
@@ -43,7 +54,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _P = np.uint64(0x9E3779B97F4A7C55)  # odd, so that it has an inverse modulo 2**64
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18  # text handled at once: its arrays take some 25 times as much
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,9 +76,11 @@ _POW: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) < n:
-        size = max(n, CHUNK_BYTES + 1024)
-        _POW[:] = [_powers(_P, size), _powers(_PINV, size)]
+    """Powers of the base and of its inverse, n at least; only those of usual chunks are kept."""
+    if n > 4 * CHUNK_BYTES:
+        return _powers(_P, n), _powers(_PINV, n)
+    if not _POW:
+        _POW[:] = [_powers(_P, 4 * CHUNK_BYTES), _powers(_PINV, 4 * CHUNK_BYTES)]
     return _POW[0], _POW[1]
 
 
@@ -96,6 +109,20 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def word_parts(raw: np.ndarray, first: int, end: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """A long row's bytes in parts of about `limit` that end at white space (or at the row's end)."""
+    while first < end:
+        at = first + limit
+        while at < end:
+            space = np.flatnonzero(_SPACE[raw[at : min(end, at + limit)]])
+            if len(space):
+                at += int(space[0])
+                break
+            at += limit
+        yield first, min(at, end)
+        first = at
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of some rows: first and end bytes, a 64-bit hash each, and where rows start."""
 
