@@ -97,3 +97,28 @@ def test_memo_changes_nothing():
     P._MEMOS.clear()
     assert first == P.encode_text(text, PATH, 3, 9, 0.3).tolist()
     assert first != P.encode_text(text, PATH, 3, 10, 0.3).tolist() != P.encode_text(text, PATH, 4, 10, 0.3).tolist()
+
+
+def test_side_by_side_equals_one_agenda():
+    """merge_all against the heap for each unit, and the query's rows against plain search over every unit."""
+    model = P.Model(PATH)
+    rng = random.Random(8)
+    units = [rng.choice(["", " ", "  "]) + "".join(rng.choice("abcdeinorst▁é日,") for _ in range(rng.randint(1, 20))) for _ in range(500)]
+    base = np.array([rng.getrandbits(64) for _ in units], np.uint64)
+    for rate in (0.0, 0.3, 1.0):
+        limit = int(rate * (1 << 64))
+        ids, counts, _, _ = P.merge_all(model, units, base, limit)
+        at = 0
+        for u, b, n in zip(units, base.tolist(), counts.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == model.merge(u, b, limit), u
+            at += n
+    import xxhash
+
+    for t in texts(20):
+        want: list[int] = []
+        start = np.uint64(xxhash.xxh3_64_intdigest((77).to_bytes(8, "little"), 5))
+        for k, u in enumerate(P._UNIT.findall(" " + t)) if t else ():
+            turn = P.mix(np.array([(int(start) + k * 0x9E3779B97F4A7C15) & P._M], np.uint64))
+            b = P.mix(np.array([xxhash.xxh3_64_intdigest(u.encode())], np.uint64) ^ turn)
+            want += model.merge(u, int(b[0]), int(0.2 * (1 << 64)))
+        assert P.encode_text(t, PATH, 5, 77, 0.2).tolist() == want
