@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import free_name, mix
 
 PER_LANGUAGE = 1500
 SIZES = (2, 3, 4, 5)
@@ -164,7 +164,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without those that no language fits (`und`: null texts and texts without a letter)."""
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
-    taken = {c.lower() for c in docs.columns}
-    lang, score = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("lang", "score"))
-    assert lang not in taken
+    lang = free_name(docs, "lang_pred")
+    score = free_name(docs, "score")
     return predict(docs, model, text_col, lang, score).where(F.col(lang) != UND).drop(lang, score)

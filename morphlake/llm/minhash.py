@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, shingle_sets, text_bytes
+from .common import components, free_name, materialize, mix, shingle_sets, text_bytes
 
 BANDS, ROWS = 27, 6
 BLOCK = 2048
@@ -234,5 +234,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the near-duplicates: of each group the row of the smallest id stays; unlinked rows all stay."""
-    drop = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("__drop"))
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    gone = free_name(docs, "gone")
+    drop = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias(gone))
+    return docs.join(drop, F.col(id_col) == F.col(gone), "left_anti")

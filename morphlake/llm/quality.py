@@ -3,16 +3,16 @@
 Base counts come from whole texts. Four rates of each document (symbols, word length, repeated lines, repeated words) go
 into quantile sketches of every language and source: a rate's bucket is its seven leading bits, a sketch the counts of its
 buckets, so sketches merge by adding up, exactly and in any order, with a relative error below 1 / 64 and map-side
-combining. A source with fewer than `least_rows` documents borrows its language's merged sketch, a small language all
-documents'. The upper fence of a rate is its median plus the larger of `k` times (median - first decile) and a least
-width; word length has a lower fence of the same width. The lower half sets the width, so that junk in the upper tail of a
-source doesn't widen its own fence. Fences are joined to the documents by language and source.
+combining. A group's quantiles are drawn towards those of its parent (a source's to its language's, a language's to all
+documents'), which weigh as much as `weight` rows; there is no size from which a group stands alone. The upper fence of a
+rate is its median plus the largest of `k` times (median - first decile), `k` times (third quartile - median) and a small
+floor well under the base rules' cutoffs; word length has a lower fence of the same width.
 
 Scale: the texts are read once and the counts written to the shared folder; a group's shuffle is its buckets, not its rows,
 so a hot source costs no more than another; the join's rows of a hot source can be split.
 
 Null and empty texts have no words and fail the base rules. Null languages and sources are groups of their own. Repeated
-rows count each; an empty table gives no rows; other columns are not read.
+rows count each; long texts are read whole; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from .common import materialize
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 # rate: (k, least width of the fence, has a lower fence too)
-RULES = {"symbols": (6, 100, False), "word_length": (6, 80, True), "line_repeats": (6, 400, False), "word_repeats": (6, 500, False)}
-LEAST_ROWS = 200
+RULES = {"symbols": (6, 100, False), "word_length": (6, 80, True), "line_repeats": (6, 200, False), "word_repeats": (6, 200, False)}
+WEIGHT = 200  # rows that a parent's quantiles count for
+QUANTILES = {"low": 10, "mid": 50, "high": 75}  # per cent
 
 
 def counts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -73,35 +74,40 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """(by, rate, total, low, mid): first decile and median of each sketch, as lower ends of buckets."""
+    """(by, rate, total, low, mid, high): the quantiles of each sketch, as lower ends of buckets."""
     w = Window.partitionBy(*by, "rate")
     s = sketch.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bucket")))
-    at = lambda share: F.min(F.when(F.col("upto") * 10 >= F.col("total") * share, F.col("bucket")))
-    return s.groupBy(*by, "rate").agg(F.max("total").alias("total"), at(1).alias("low"), at(5).alias("mid"))
+    at = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * share, F.col("bucket"))).alias(name) for name, share in QUANTILES.items()]
+    return s.groupBy(*by, "rate").agg(F.max("total").alias("total"), *at)
 
 
-def fences(rows: DataFrame, lang: str, source: str, least_rows: int = LEAST_ROWS) -> DataFrame:
+def fences(rows: DataFrame, lang: str, source: str, weight: int = WEIGHT) -> DataFrame:
     """(lang, source, <rate>_most, <rate>_least ...): one row for each group."""
     own = materialize(sketches(rows, [lang, source]), "sketch")
     q = quantiles(own, [lang, source])
-    by_lang = quantiles(merged(own, [lang]), [lang]).withColumnsRenamed({lang: "__l", "rate": "__r", "total": "t2", "low": "low2", "mid": "mid2"})
-    by_all = quantiles(merged(own, []), []).withColumnsRenamed({"rate": "__a", "total": "t3", "low": "low3", "mid": "mid3"})
+    names = ("total", *QUANTILES)
+    by_lang = quantiles(merged(own, [lang]), [lang]).withColumnsRenamed({lang: "__l", "rate": "__r"} | {c: c + "2" for c in names})
+    by_all = quantiles(merged(own, []), []).withColumnsRenamed({"rate": "__a"} | {c: c + "3" for c in names})
     q = q.join(by_lang, q[lang].eqNullSafe(F.col("__l")) & (q["rate"] == F.col("__r")), "left").join(F.broadcast(by_all), q["rate"] == F.col("__a"), "left")  # by_all: a row for each rate
-    pick = lambda c: F.when(F.col("total") >= least_rows, F.col(c)).when(F.col("t2") >= least_rows, F.col(c + "2")).otherwise(F.col(c + "3"))
-    q = q.select(lang, source, "rate", pick("low").alias("low"), pick("mid").alias("mid"))
+    q = q.select(lang, source, "rate", *(F.expr(drawn(c, weight)).alias(c) for c in QUANTILES))
     out = []
     for rate, (k, least, lower) in RULES.items():
-        here, width = F.col("rate") == rate, F.greatest(F.lit(k) * (F.col("mid") - F.col("low")), F.lit(least))
+        here, width = F.col("rate") == rate, F.expr(f"greatest({k} * (mid - low), {k} * (high - mid), {least})")
         out.append(F.max(F.when(here, F.col("mid") + width)).alias(f"{rate}_most"))
         if lower:
             out.append(F.max(F.when(here, F.col("mid") - width)).alias(f"{rate}_least"))
     return q.groupBy(lang, source).agg(*out)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
+def drawn(c: str, weight: int) -> str:
+    """A source's quantile drawn to its language's, that drawn to all documents'; whole numbers."""
+    return f"(total * {c} + {weight} * ((total2 * {c}2 + {weight} * {c}3) div (total2 + {weight}))) div (total + {weight})"
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", weight: int = WEIGHT) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row."""
     rows = materialize(counts(docs, id_col, text_col, F.col(lang_col).alias("g1"), F.col(source_col).alias("g2")), "counts")
-    f = fences(rows, "g1", "g2", least_rows).withColumnsRenamed({"g1": "f1", "g2": "f2"})
+    f = fences(rows, "g1", "g2", weight).withColumnsRenamed({"g1": "f1", "g2": "f2"})
     rows = rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     inside = " and ".join(f"({e}) <= {k}_most" + (f" and ({e}) >= {k}_least" if RULES[k][2] else "") for k, e in rates().items())
     out = rows.join(f, rows["g1"].eqNullSafe(f["f1"]) & rows["g2"].eqNullSafe(f["f2"]), "left")
@@ -116,16 +122,20 @@ def oracle_sql() -> str:
 
     def quant(name: str, by: str) -> str:
         key = f"{by}, " if by else ""
-        return f"""{name} as (select {key}rate, max(total) as total, min(bucket) filter (upto * 10 >= total) as low, min(bucket) filter (upto * 10 >= total * 5) as mid from (
+        at = ", ".join(f"min(bucket) filter (upto * 100 >= total * {share}) as {c}" for c, share in QUANTILES.items())
+        return f"""{name} as (select {key}rate, max(total) as total, {at} from (
             select {key}rate, bucket, sum(n) over (partition by {key}rate) as total, sum(n) over (partition by {key}rate order by bucket) as upto
             from (select {key}rate, bucket, sum(n) as n from s group by {key}rate, bucket)) group by {key}rate)"""
 
     most = []
     for k, (times, least, lower) in RULES.items():
-        width = f"greatest({times} * (mid - low), {least})"
+        width = f"greatest({times} * (mid - low), {times} * (high - mid), {least})"
         most.append(f"max(case when rate = '{k}' then mid + {width} end) as {k}_most")
         if lower:
             most.append(f"max(case when rate = '{k}' then mid - {width} end) as {k}_least")
+    own = ", ".join(
+        f"((q1.total * q1.{c} + {WEIGHT} * ((q2.total * q2.{c} + {WEIGHT} * q3.{c}) // (q2.total + {WEIGHT}))) // (q1.total + {WEIGHT}))::bigint as {c}" for c in QUANTILES
+    )
     inside = " and ".join(f"({e}) <= {k}_most" + (f" and ({e}) >= {k}_least" if RULES[k][2] else "") for k, e in rate.items())
     return rf"""
     with d as (select doc_id, lang, source, coalesce(text, '') as t from documents),
@@ -139,8 +149,7 @@ def oracle_sql() -> str:
         coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join r using (doc_id)),
     s as (select lang, source, rate, {cut} as bucket, count(*) as n from ({unions}) group by all),
     {quant("q1", "lang, source")}, {quant("q2", "lang")}, {quant("q3", "")},
-    q as (select q1.lang, q1.source, q1.rate, case when q1.total >= {LEAST_ROWS} then q1.low when q2.total >= {LEAST_ROWS} then q2.low else q3.low end as low,
-        case when q1.total >= {LEAST_ROWS} then q1.mid when q2.total >= {LEAST_ROWS} then q2.mid else q3.mid end as mid
+    q as (select q1.lang, q1.source, q1.rate, {own}
         from q1 join q2 on q1.lang is not distinct from q2.lang and q1.rate = q2.rate join q3 on q1.rate = q3.rate),
     f as (select lang, source, {", ".join(most)} from q group by lang, source)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,

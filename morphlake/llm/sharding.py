@@ -1,12 +1,13 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
 Rows get numbers 0 .. n-1 by (id, CRC-32, size): a range exchange of those light columns, a sort in each part, and the
-parts' row counts added up (one number for each part, by a join). A keyed Feistel network over the least even number of
+parts' row counts added up (one number for each part, by running sums). A keyed Feistel network over the least even number of
 bits that holds n permutes the numbers; values of n and above are walked on until they fall below n. The permuted number
 p gives shard p % shards and slot p // shards: reproducible from (seed, n) alone, computable for any row without a sort of
 the shuffled data, counts of shards at most one apart, slots without gaps. Law: `rows`.
 
-Null texts count as empty. Null ids come first; repeated rows are numbered each on its own (equal rows are
+Equal texts are no groups under this law: each row has a place of its own, which depends on its number alone. Null texts
+count as empty, long ones are only measured. Other columns, whatever their names, are not read. Null ids come first; repeated rows are numbered each on its own (equal rows are
 interchangeable). An empty table gives no rows.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, mix
@@ -49,11 +50,11 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """df (light columns) with `row`: 0 .. n-1 by order, and `total`."""
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     kept = materialize(sorted_.withColumn("part", F.shiftrightunsigned("at", 33)).withColumn("at", F.expr("at & 8589934591L")), "rows")
+    # one row for each part of the exchange, so bounded by the number of partitions: running sums in one task
     parts = kept.groupBy("part").agg(F.count("*").alias("n"))
-    lower = parts.alias("p").join(F.broadcast(parts.select(F.col("part").alias("q"), F.col("n").alias("m"))), F.col("q") < F.col("p.part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("base"))
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))
-    # one row for each part of the exchange: bounded by the number of partitions, not by the data
-    return kept.join(F.broadcast(lower), "part").join(F.broadcast(total)).withColumn("row", F.col("base") + F.col("at")).drop("part", "at", "base")
+    upto = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lower = parts.select("part", (upto - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    return kept.join(F.broadcast(lower), "part").withColumn("row", F.col("base") + F.col("at")).drop("part", "at", "base")
 
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = 20240917, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,3 +100,21 @@ def test_near_dedup_takes_pairs_from_four_fifths(spark):
     assert all(0.8 < x < 0.85 for x in shares[:5]) and all(x < 0.8 for x in shares[5:])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2, 4, 6, 8, 10, 11, 12, 13]
+
+
+def test_stages_take_clashing_names_empty_tables_and_odd_ids(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("word%d" % rng.randrange(2000) for _ in range(n))
+    text = prose(120)
+    names = "digest copies spans gone lang_pred score __digest __copies __spans __drop row key h asked id piece length".split()
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (None, prose(60), None, None, None), (None, text + " x", "en", "s", 2), (2, None, "en", "s", 0), (3, "", None, "s", 0), (4, prose(80) + " password=abcdefgh12345", "en", "s", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in names)
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], schema)
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == df.columns, name
+            kept = out.collect()
+            assert all(tuple(r)[5:] == tuple(range(len(names))) for r in kept)
+        corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.near_dedup(spark, df, "").collect())) == sorted((r[0] is None, r[0] or 0) for r in rows)

@@ -30,7 +30,7 @@ def data():
 def test_counts_and_oracle(spark):
     rows = data()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, words int").repartition(3)
-    got = {r.doc_id: r for r in Q.judge(df, least_rows=Q.LEAST_ROWS).collect()}
+    got = {r.doc_id: r for r in Q.judge(df).collect()}
     assert len(got) == len(rows)
     for i, t, _, _ in rows:
         r = got[i]
@@ -45,3 +45,25 @@ def test_counts_and_oracle(spark):
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b", "en", "s"), (1, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
     assert Q.judge(df).count() == 2 and Q.judge(df.limit(0)).count() == 0
+
+
+def test_each_rule_rejects_its_outlier(spark):
+    """One planted text for each rule, all within the base rules, in a source of plain texts and beside one of a noisy source."""
+    rng = random.Random(9)
+    vocab = ["word%03d" % i for i in range(900)]
+    prose = lambda n: " ".join(rng.sample(vocab, n))
+    lines = lambda n: "\n".join(prose(8) for _ in range(n))
+    rows = [(i, lines(15), "en", "plain") for i in range(600)]
+    noisy = [(1000 + i, lines(12) + " #" * (20 + i % 30), "en", "noisy") for i in range(600)]
+    again = prose(8)
+    repeated = lines(5)
+    bad = {
+        "symbols": lines(15) + " ##" * 60, "word_length": " ".join("w" * 30 + str(i) for i in range(120)), "line_repeats": lines(9) + "\n" + "\n".join(["one short line"] * 5),
+        "word_repeats": lines(16) + " " + again + " " + again + " " + repeated.replace("\n", " ") + " " + repeated.replace("\n", " "),
+    }
+    planted = [(2000 + k, t, "en", "plain") for k, t in enumerate(bad.values())]
+    df = spark.createDataFrame(rows + noisy + planted, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in Q.judge(df).collect()}
+    assert all(got[r[0]].kept for r in rows + noisy)
+    for k, name in enumerate(bad):
+        assert not got[2000 + k].base_failed and not got[2000 + k].kept, name

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from morphlake.llm import secret_scan as S
 
 
@@ -40,3 +42,20 @@ def test_redact_and_digest(spark):
     d = {(r.doc_id, r.n_assign, r.spans) for r in S.digest(df).collect()}
     assert d == {(1, 1, "assign:2:21"), (2, 0, "")}
     assert S.digest(df.limit(0)).count() == 0
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    text = "0123456789abcdef" * 625_000  # 10 MB of one run
+    began = time.time()
+    (spans,) = S.scan_batch(pa.array([text]))
+    assert spans == [("hex", 0, len(text))] and time.time() - began < 20
+    df = spark.createDataFrame([(1, "ab" * 40 + "é " + text[:40], "x", "y"), (2, None, None, None)], "doc_id long, text string, spans string, kind string")
+    got = {r.doc_id: (r.n_hex, r.spans) for r in S.digest(df).collect()}
+    assert got == {1: (2, "hex:0:80,hex:82:122"), 2: (0, "")} and S.digest(df.limit(0)).count() == 0
+
+
+def test_runs_end_with_their_rows():
+    rows = ["a" * 31, "b" * 31, "c" * 32, "", "d" * 33, "x" + "e" * 40]
+    assert list(S.scan_batch(pa.array(rows))) == [[], [], [("hex", 0, 32)], [], [("hex", 0, 33)], [("hex", 1, 41)]]
