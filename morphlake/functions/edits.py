@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,18 +74,55 @@ def banned_repairs(c: Column, profile: LanguageProfile, most: int = 12) -> Colum
 
 def osa(a: str, b: str, cap: int = CAP) -> float:
     """Restricted Damerau distance: no substring is edited twice. Lengths further apart than cap give cap + 1."""
-    if abs(len(a) - len(b)) > cap:
-        return cap + 1.0
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                best = min(best, rows[-2][j - 2] + 1)
-            row.append(best)
-        rows.append(row)
-    return float(rows[-1][-1])
+    return float(_osa_all([a], [b], cap)[0])
+
+
+def _table(left: list, right: list, cost: np.ndarray | None, swaps: bool) -> np.ndarray:
+    """Distances of pairs of number sequences, all pairs a cell at a time: one table for all of them."""
+    n, la, lb = len(left), np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    rows, columns = int(la.max()), int(lb.max())
+    a, b = np.full((rows + 1, n), -1), np.full((columns + 1, n), -2)
+    for table, given, sizes in ((a, left, la), (b, right, lb)):
+        flat = np.array([x for own in given for x in own], np.int64)
+        row = np.repeat(np.arange(n), sizes)
+        table[1 + np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row] = flat
+    out = np.where(la == 0, lb, np.where(lb == 0, la, 0)).astype(np.float64)
+    before, above = None, np.repeat(np.arange(columns + 1, dtype=np.float64)[:, None], n, axis=1)
+    for i in range(1, rows + 1):
+        row = np.empty_like(above)
+        row[0] = i
+        for j in range(1, columns + 1):
+            step = (a[i] != b[j]).astype(np.float64) if cost is None else cost[a[i], b[j]]
+            row[j] = np.minimum(np.minimum(above[j], row[j - 1]) + 1.0, above[j - 1] + step)
+            if swaps and i > 1 and j > 1:
+                turned = (a[i] == b[j - 1]) & (a[i - 1] == b[j])
+                row[j] = np.where(turned, np.minimum(row[j], before[j - 2] + 1.0), row[j])
+        here = np.flatnonzero((la == i) & (lb > 0))
+        out[here] = row[lb[here], here]
+        before, above = above, row
+    return out
+
+
+def _by_length(left: list, right: list, run) -> np.ndarray:
+    """run over the pairs of about one length together, so that short words don't pay for a long one."""
+    longest = np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)])
+    out = np.empty(len(left))
+    for k in np.unique((longest + 3) // 4).tolist():
+        at = np.flatnonzero((longest + 3) // 4 == k)
+        for c in range(0, len(at), 8192):
+            own = at[c : c + 8192]
+            out[own] = run([left[i] for i in own.tolist()], [right[i] for i in own.tolist()])
+    return out
+
+
+def _osa_all(a: list[str], b: list[str], cap: int) -> np.ndarray:
+    far = np.array([abs(len(x) - len(y)) > cap for x, y in zip(a, b, strict=True)])
+    out = np.full(len(a), cap + 1.0)
+    near = np.flatnonzero(~far)
+    if len(near):
+        points = lambda w: list(map(ord, w))
+        out[near] = _by_length([points(a[i]) for i in near.tolist()], [points(b[i]) for i in near.tolist()], lambda x, y: _table(x, y, None, True))
+    return out
 
 
 class PhonemeDistance:
@@ -94,59 +133,75 @@ class PhonemeDistance:
         self.unit = re.compile("(?s)" + "|".join([*map(re.escape, sorted(profile.digraphs, key=len, reverse=True)), "."]))
         self.units = lru_cache(200_000)(lambda w: tuple(self.unit.findall(w.lower())))
 
+    def phonemic_all(self, a: list[str], b: list[str]) -> np.ndarray:
+        x, y = [self.units(w) for w in a], [self.units(w) for w in b]
+        number = {u: k for k, u in enumerate(dict.fromkeys(u for own in (*x, *y) for u in own))}
+        cost = np.ones((len(number) + 2, len(number) + 2))  # two more for the padding of either side
+        np.fill_diagonal(cost, 0.0)
+        for (u, v), c in self.cost.items():
+            if u in number and v in number:
+                cost[number[u], number[v]] = c
+        return _by_length([[number[u] for u in own] for own in x], [[number[u] for u in own] for own in y], lambda p, q: _table(p, q, cost, False))
+
+    def all(self, a: list[str], b: list[str]) -> np.ndarray:
+        """The distances of many pairs."""
+        if not a:
+            return np.zeros(0)
+        out = np.minimum(self.phonemic_all(a, b), _osa_all(a, b, CAP))
+        return np.where([x == y for x, y in zip(a, b, strict=True)], 0.0, out)
+
     def phonemic(self, a: str, b: str) -> float:
-        x, y = self.units(a), self.units(b)
-        above = [float(j) for j in range(len(y) + 1)]
-        for i, u in enumerate(x, 1):
-            row = [float(i)]
-            for j, v in enumerate(y, 1):
-                row.append(min(above[j] + 1.0, row[-1] + 1.0, above[j - 1] + (0.0 if u == v else self.cost.get((u, v), 1.0))))
-            above = row
-        return above[-1]
+        return float(self.phonemic_all([a], [b])[0])
 
     def __call__(self, a: str, b: str) -> float:
-        return 0.0 if a == b else min(self.phonemic(a, b), osa(a, b))
+        return float(self.all([a], [b])[0])
 
     def explain(self, a: str, b: str) -> list[dict]:
-        """The edits of the view that gives the distance; their costs add up to it."""
+        """The edits of the view that gives the distance; their costs add up to it.
+
+        The cheapest way to every pair of prefixes keeps its last edit, of equally cheap ones the first of: a swap, a
+        replacement, a drop, an addition.
+        """
         if a == b:
             return []
-        units = self.phonemic(a, b) <= osa(a, b)
-        x, y = (self.units(a), self.units(b)) if units else (tuple(a), tuple(b))
-        cost = (lambda u, v: 0.0 if u == v else self.cost.get((u, v), 1.0)) if units else (lambda u, v: float(u != v))
-        d = [[float(i + j) if not i or not j else 0.0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
-        for i in range(1, len(x) + 1):
-            for j in range(1, len(y) + 1):
-                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + cost(x[i - 1], y[j - 1]))
-                if not units and i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1]:
-                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
-        out, i, j = [], len(x), len(y)
-        while i or j:
-            here = d[i][j]
-            swapped = not units and i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1] and x[i - 1] != y[j - 1]
-            if swapped and abs(here - d[i - 2][j - 2] - 1) < 1e-9:
-                out.append({"op": "swap", "from": x[i - 2] + x[i - 1], "to": y[j - 2] + y[j - 1], "cost": 1.0, "known": False})
-                i, j = i - 2, j - 2
-            elif i and j and abs(here - d[i - 1][j - 1] - cost(x[i - 1], y[j - 1])) < 1e-9:
-                if x[i - 1] != y[j - 1]:
-                    out.append({"op": "substitute", "from": x[i - 1], "to": y[j - 1], "cost": cost(x[i - 1], y[j - 1]), "known": (x[i - 1], y[j - 1]) in self.cost})
-                i, j = i - 1, j - 1
-            elif i and abs(here - d[i - 1][j] - 1) < 1e-9:
-                out.append({"op": "drop", "from": x[i - 1], "to": "", "cost": 1.0, "known": False})
-                i -= 1
-            else:
-                out.append({"op": "add", "from": "", "to": y[j - 1], "cost": 1.0, "known": False})
-                j -= 1
+        sounds = self.phonemic(a, b) <= osa(a, b)
+        x, y = (self.units(a), self.units(b)) if sounds else (tuple(a), tuple(b))
+        ways: dict[tuple[int, int], tuple[float, tuple[int, int] | None, dict | None]] = {(0, 0): (0.0, None, None)}
+
+        def edit(op: str, i: int, j: int, di: int, dj: int) -> dict:
+            u, v = x[i - di : i], y[j - dj : j]
+            known = op == "substitute" and (u[0], v[0]) in self.cost
+            return {"op": op, "from": "".join(u), "to": "".join(v), "cost": self.cost[u[0], v[0]] if known and sounds else 1.0, "known": known}
+
+        for i, j in itertools.product(range(len(x) + 1), range(len(y) + 1)):
+            steps = []
+            if not sounds and min(i, j) > 1 and (x[i - 2], x[i - 1]) == (y[j - 1], y[j - 2]) and x[i - 1] != y[j - 1]:
+                steps.append((2, 2, edit("swap", i, j, 2, 2)))
+            if i and j:
+                steps.append((1, 1, None if x[i - 1] == y[j - 1] else edit("substitute", i, j, 1, 1)))
+            if i:
+                steps.append((1, 0, edit("drop", i, j, 1, 0)))
+            if j:
+                steps.append((0, 1, edit("add", i, j, 0, 1)))
+            if steps:
+                reach = [(round(ways[i - di, j - dj][0] + (e["cost"] if e else 0.0), 9), (i - di, j - dj), e) for di, dj, e in steps]
+                ways[i, j] = min(reach, key=lambda w: w[0])
+        out, at = [], (len(x), len(y))
+        while at is not None:
+            _, at, e = ways[at]
+            out += [e] if e else []
         return out[::-1]
 
 
 def distance_udf(profile: LanguageProfile):
-    """An Arrow function (a, b) -> distance rounded to six places."""
+    """An Arrow function (a, b) -> distance rounded to six places; a batch of pairs is one run over NumPy tables."""
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        d = PhonemeDistance(profile)
-        return pd.Series([None if x is None or y is None else round(d(x, y), 6) for x, y in zip(a, b, strict=True)], dtype="float64")
+        there = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        out[there] = np.round(PhonemeDistance(profile).all(a[there].tolist(), b[there].tolist()), 6)
+        return pd.Series(out, dtype="Float64").mask(~there)
 
     return distance
 
@@ -154,7 +209,11 @@ def distance_udf(profile: LanguageProfile):
 def osa_udf(cap: int = CAP):
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else osa(x, y, cap) for x, y in zip(a, b, strict=True)], dtype="float64")
+        there = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        if there.any():
+            out[there] = _osa_all(a[there].tolist(), b[there].tolist(), cap)
+        return pd.Series(out, dtype="Float64").mask(~there)
 
     return distance
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphlake.functions.text import fold_key
+from morphlake.functions.text import canonical, fold_key
 
 from .frequency import compound_weight
 
@@ -81,12 +81,13 @@ def surface_forms(lexicon: DataFrame, foreign: DataFrame | None = None) -> DataF
     return own.union(t).where("not contains(word, ' ')").distinct()
 
 
-def is_known(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
-    """words with is_known: surface, phrase word or folded match."""
-    exact = known_forms(lexicon).withColumn("__e", F.lit(True))
+def is_known(words: DataFrame, lexicon: DataFrame, word: str = "word", screen=None) -> DataFrame:
+    """words with is_known: surface, phrase word that screen(column) passes, or folded match; words are canonicalised first."""
+    exact = known_forms(lexicon, screen).select(F.col("word").alias("__x")).withColumn("__e", F.lit(True))
     fold = lexicon.select(fold_key(F.col("surface")).alias("__fk")).distinct().withColumn("__f", F.lit(True))
-    out = words.withColumns({"__w": F.lower(word), "__k": fold_key(F.col(word))}).join(exact, F.col("__w") == exact["word"], "left").drop(exact["word"]).join(fold, F.col("__k") == F.col("__fk"), "left")
-    return out.withColumn("is_known", F.coalesce("__e", "__f", F.lit(False))).drop("__w", "__k", "__e", "__f", "__fk")
+    own = F.lower(canonical(F.col(word)))
+    out = words.withColumns({"__w": own, "__k": fold_key(own)}).join(exact, F.col("__w") == F.col("__x"), "left").join(fold, F.col("__k") == F.col("__fk"), "left")
+    return out.withColumn("is_known", F.coalesce("__e", "__f", F.lit(False))).drop("__w", "__k", "__x", "__e", "__fk", "__f")
 
 
 def member(words: DataFrame, forms: DataFrame, flag: str, word: str = "word") -> DataFrame:
