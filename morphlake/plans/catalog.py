@@ -223,7 +223,7 @@ def gazetteer(spark, d):
 @query()
 def name_classification(spark, d):
     docs = read(spark, d, "documents")
-    spans = tokens.word_spans(docs, "text", "doc_id").withColumn("initial", tokens.starts_sentence(F.col("line_head")))
+    spans = tokens.word_spans(docs, "text", "doc_id")
     return names.classify(spans, names.gazetteer(_cased(spark, d).withColumn("o", F.lit(0)), "o", least=9)).select("doc_id", "pos", "tok", "initial", "name_class")
 
 

@@ -36,8 +36,14 @@ def word_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def word_list(spark: SparkSession, path: str, field: str = "tokens") -> DataFrame:
-    """(word) from a JSON object's array; empty where the file is missing."""
-    return optional(spark, "word string", lambda: spark.read.option("wholetext", "true").text(path).select(F.explode(F.try_variant_get(F.parse_json("value"), f"$.{field}", "array<string>")).alias("word")))
+    """(word) from a JSON object's `field`: the names of an object ({word: list or count}), or an array of words.
+
+    Empty where the file is missing; an error where the field is neither.
+    """
+    at = lambda kind: F.try_variant_get(F.parse_json("value"), f"$.{field}", kind)
+    named = F.coalesce(F.map_keys(at("map<string,variant>")), at("array<string>"))
+    found = F.coalesce(named, F.raise_error(F.lit(f"no words under {field} in {path}")).cast("array<string>"))
+    return optional(spark, "word string", lambda: spark.read.option("wholetext", "true").text(path).select(F.explode(found).alias("word")))
 
 
 def spelling_links(spark: SparkSession, path: str) -> DataFrame:
@@ -69,8 +75,8 @@ def save_lexicon(lexicon: DataFrame, path: str, how: str = "parquet") -> None:
 
 
 def save_grams(flat: DataFrame, path: str) -> None:
-    """The n-gram store: Parquet by order n, so a reader of one order prunes the others."""
-    flat.repartition("n").write.mode("overwrite").partitionBy("n").parquet(path)
+    """The n-gram store: Parquet by order n, so a reader of one order prunes the others; an order is written by many tasks."""
+    flat.repartition("n", "gram").write.mode("overwrite").partitionBy("n").parquet(path)
 
 
 def load_grams(spark: SparkSession, path: str) -> dict[str, DataFrame]:
