@@ -66,7 +66,7 @@ def stream(events: DataFrame, rules=((90, 60),), key: str = "key", ts: str = "ts
 
     A batch's events of a visitor are taken in order of time; the source's order holds between batches. Events more than
     `ttl` seconds behind the latest one seen are too late to be judged and are dropped by the watermark; those without a key
-    or a time come back with a null wait, as in `replay`.
+    or a time come back with a null wait, as in `replay`. The watermark starts at 0, so times are above 0.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 

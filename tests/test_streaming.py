@@ -7,7 +7,7 @@ def test_window_state():
 
 
 def test_replay_and_stream_agree(spark, tmp_path):
-    rows = [(i, f"v{i % 3}", float(i * 7 % 50 + i)) for i in range(60)]
+    rows = [(i, f"v{i % 3}", 1000.0 + i * 7 % 50 + i) for i in range(60)]
     e = spark.createDataFrame(rows, "event_id long, key string, ts double")
     want = {}
     state = {}
