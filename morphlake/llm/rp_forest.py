@@ -9,8 +9,11 @@ doesn't hold: every node widens its spill by its own projections or stays a leaf
 the share of the sample's own links that a tree was seen to part comes to `miss` (`build_forest`). That share is an
 estimate: a group too small to show in the sample has the plan's probability only.
 
-Scale: equal vectors of a label are folded and weigh as many as they are. A leaf larger than `block` is dealt to pairs of
-blocks, so no task holds more than two blocks. A leaf gives counts and a spanning forest, never its pairs.
+Scale: equal vectors of a label are folded and weigh as many as they are. Vectors go to their leaves in one exchange, in
+the precision they came in, each with the numbers of the leaves it shares with others before this one. A leaf that by the
+sample holds more than `block` vectors of a label is dealt to pairs of blocks; whatever comes to a task is compared in tiles
+of a block by a block, so memory is bounded even where the sample was wrong. A leaf gives counts and edges that unite its
+components, never its pairs.
 
 Null, zero or non-finite vectors and null labels link with nothing; vectors of different lengths neither. Repeated rows of
 one id and vector count once. Null ids are left out of all links. An empty table gives no rows; other columns are not read.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,13 +54,26 @@ def _unit(values: list | None) -> np.ndarray | None:
     return v / norm
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """(id, label, dim, vector, digest): the vector's bytes in its own precision, the digest of its direction."""
     for b in batches:
-        units = [_unit(v) for v in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([None if u is None else len(u) for u in units], pa.int32()), pa.array([None if u is None else u.astype("<f8").tobytes() for u in units], pa.binary()), pa.array([None if u is None else hashlib.md5(u.astype("<f8").tobytes()).digest() for u in units], pa.binary())],
-            names=["id", "label", "dim", "unit", "digest"],
-        )
+        rows = b.column(2).to_pylist()
+        units = [_unit(v) for v in rows]
+        raw = [None if u is None else np.array(v, kind).tobytes() for u, v in zip(units, rows, strict=True)]
+        digest = [None if u is None else hashlib.md5(u.astype("<f8").tobytes()).digest() for u in units]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if u is None else len(u) for u in units], pa.int32()), pa.array(raw, pa.binary()), pa.array(digest, pa.binary())], names=["id", "label", "dim", "vector", "digest"])
+
+
+def _matrix(raw: bytes, kind: str, dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(raw, kind).reshape(-1, dim).astype(np.float64)
+    with np.errstate(over="ignore", under="ignore"):
+        norm = np.sqrt((x * x).sum(axis=1))
+    odd = ~np.isfinite(norm) | (norm == 0)
+    if odd.any():  # squares that overflow or vanish
+        x[odd] /= np.abs(x[odd]).max(axis=1, keepdims=True)
+        norm[odd] = np.sqrt((x[odd] * x[odd]).sum(axis=1))
+    return x / norm[:, None]
 
 
 # ---------------------------------------------------------------- the forest
@@ -74,7 +91,7 @@ def plan_forest(largest: int, dim: int, threshold: float, leaf: int, miss: float
         return 0, 1, 0.0
     d = math.sqrt(2 - 2 * threshold)
     best = None
-    for k in (0.0, 0.125, 0.25, 0.5, 0.75, 1.0, 1.5):  # spill in sigmas of the difference
+    for k in (0.25, 0.5, 0.75, 1.0, 1.5):  # spill in sigmas of the difference
         t = 2 * k
         tail = math.exp(-t * t / 2) / math.sqrt(2 * math.pi) - t * 0.5 * math.erfc(t / math.sqrt(2))
         part = min(0.5, 2 * tail * d / math.sqrt(2 * math.pi))
@@ -90,7 +107,7 @@ def plan_forest(largest: int, dim: int, threshold: float, leaf: int, miss: float
 
 _GRID = np.linspace(0.0, 8.0, 2001)
 _TAIL = np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in _GRID])  # of the normal distribution
-_SPILLS = (0.0, 0.125, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5)  # in sigmas of the difference of a pair at the threshold
+_SPILLS = (0.25, 0.5, 0.75, 1.0, 1.25, 1.5)  # in sigmas of the difference of a pair at the threshold
 
 
 def _parted(away: np.ndarray, spill: float, sigma: float) -> float:
@@ -177,92 +194,173 @@ def build_forest(sample: np.ndarray, plan: tuple[int, int, float], n: int, thres
     return forest
 
 
-def leaves_of(vectors: np.ndarray, forest: list) -> list[list[int]]:
-    """For each vector the ascending numbers of its leaves in all trees."""
-    out: list[list[int]] = [[] for _ in range(len(vectors))]
+def placed_in(vectors: np.ndarray, forest: list) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of all places, by row and then leaf."""
+    rows, leaves = [], []
 
-    def down(node, rows: np.ndarray) -> None:
-        if not len(rows):
+    def down(node, own: np.ndarray) -> None:
+        if not len(own):
             return
         if not isinstance(node, list):
-            for i in rows.tolist():
-                out[i].append(node)
+            rows.append(own)
+            leaves.append(np.full(len(own), node))
             return
         r, cut, spill, left, right = node
-        p = vectors[rows] @ r
-        down(left, rows[p <= cut + spill])
-        down(right, rows[p > cut - spill])
+        p = vectors[own] @ r
+        down(left, own[p <= cut + spill])
+        down(right, own[p > cut - spill])
 
     for tree in forest:
         down(tree, np.arange(len(vectors)))
-    return [sorted(x) for x in out]
+    row, leaf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, leaves))
+    order = np.lexsort((leaf, row))
+    return row[order], leaf[order]
+
+
+def leaves_of(vectors: np.ndarray, forest: list) -> list[list[int]]:
+    """For each vector the ascending numbers of its leaves in all trees."""
+    row, leaf = placed_in(vectors, forest)
+    return [x.tolist() for x in np.split(leaf, np.searchsorted(row, np.arange(1, len(vectors))))] if len(vectors) else []
 
 
 # ---------------------------------------------------------------- leaves
 
 
-def _components_of(near: np.ndarray) -> np.ndarray:
-    """Least row reachable, for a symmetric matrix with a true diagonal."""
-    n = len(near)
+def _placed(batches: Iterator[pa.RecordBatch], forest: list, blocks: dict, kind: str, dim: int) -> Iterator[pa.RecordBatch]:
+    """A row for each leaf of each vector (and pair of blocks that its own is in): with the leaves before it, packed."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        row, leaf = placed_in(_matrix(b"".join(b.column("vector").to_pylist()), kind, dim), forest)
+        start = np.searchsorted(row, np.arange(b.num_rows))
+        turn = np.arange(len(row)) - start[row]
+        many = np.ones(len(row), np.int64)
+        if blocks:
+            labels = b.column("label").to_pylist()
+            many[:] = [blocks.get((labels[r], k), 1) for r, k in zip(row.tolist(), leaf.tolist(), strict=True)]
+        own = np.zeros(len(row), np.int64)
+        split = np.flatnonzero(many > 1)
+        if len(split):
+            own[split] = [int.from_bytes(hashlib.md5(str(i).encode()).digest()[:4], "little") for i in b.column("id").take(pa.array(row[split])).to_pylist()] % many[split]
+        entry = np.repeat(np.arange(len(row)), many)
+        other = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
+        other[many[entry] == 1] = 0
+        size = turn[entry]
+        ends = np.cumsum(size)
+        earlier = leaf[np.repeat(start[row[entry]] - (ends - size), size) + np.arange(int(ends[-1]))].astype("<i4")
+        at = np.concatenate([[0], ends * 4]).astype(np.int32)
+        before = pa.BinaryArray.from_buffers(pa.binary(), len(entry), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(earlier.tobytes())])
+        rows = b.select(["id", "label", "dim", "vector", "weight"]).take(pa.array(row[entry]))
+        p, q = np.minimum(own[entry], other), np.maximum(own[entry], other)
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(leaf[entry].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(own[entry].astype(np.int32)), before], names=[*rows.schema.names, "leaf", "p", "q", "side", "before"])
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row reachable over the edges a - b."""
     own = np.arange(n)
     while True:
-        new = np.where(near, own[None, :], n).min(axis=1)
+        new = own.copy()
+        np.minimum.at(new, a, own[b])
+        np.minimum.at(new, b, own[a])
         new = new[new]
         if (new == own).all():
             return own
         own = new
 
 
-def _leaf(ids: list, weights: np.ndarray, sides: np.ndarray, x: np.ndarray, leaves: list[list[int]], leaf: int, threshold: float):
-    """(links counted here, component root by row): pairs across the two blocks, or all where there is one."""
-    near = x @ x.T >= threshold
-    np.fill_diagonal(near, False)
-    if sides.any():
-        near &= sides[:, None] != sides[None, :]
-    earlier = sorted({k for own in leaves for k in own if k < leaf})
-    new = near
-    if earlier and near.any():
-        column = {k: i for i, k in enumerate(earlier)}
-        member = np.zeros((len(ids), len(earlier)), np.float32)
-        for i, own in enumerate(leaves):
-            member[i, [column[k] for k in own if k < leaf]] = 1
-        new = near & ~(member @ member.T > 0)
-    links = new.astype(np.float64) @ weights
-    np.fill_diagonal(near, True)
-    return links.astype(np.int64), _components_of(near)
-
-
-def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _met(before: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows i and j shared a leaf before."""
+    wide = max((len(x) for x in before), default=0)
+    out = np.zeros(len(i), np.bool_)
+    if not wide:
+        return out
+    table = np.full((len(before), wide), -1, np.int32)
+    for k, x in enumerate(before):
+        table[k, : len(x)] = x
+    other = np.where(table < 0, -2, table)
+    for k in range(0, len(i), 1 << 14):
+        x, y = table[i[k : k + (1 << 14)]], other[j[k : k + (1 << 14)]]
+        out[k : k + (1 << 14)] = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+    return out
+
+
+def _tiles(n: int, side: np.ndarray, across: bool, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row lists whose pairs are all to be compared; a list with itself for the pairs within."""
+    parts = [np.flatnonzero(side == x) for x in np.unique(side)] if across else [np.arange(n)]
+    cut = [[own[k : k + block] for k in range(0, len(own), block)] for own in parts]
+    if across:
+        if len(cut) == 2:
+            yield from ((x, y) for x in cut[0] for y in cut[1])
+        return
+    for k, x in enumerate(cut[0]):
+        yield from ((x, y) for y in cut[0][k:])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], threshold: float, kind: str, block: int) -> Iterator[pa.RecordBatch]:
     """(id, links, root) of the rows that have any, for each run of equal (label, dim, leaf, p, q)."""
-    now, rows = None, []
-    out: list[list] = [[], [], []]
-
-    def settle():
-        ids = [r[0] for r in rows]
-        x = np.frombuffer(b"".join(r[2] for r in rows), "<f8").reshape(len(rows), -1)
-        sides = np.array([r[4] for r in rows]) if now[3] != now[4] else np.zeros(len(rows), np.int64)
-        links, root = _leaf(ids, np.array([r[1] for r in rows], np.float64), sides, x, [r[3] for r in rows], now[2], threshold)
-        for i in np.flatnonzero((links > 0) | (root != np.arange(len(ids)))).tolist():
-            for column, v in zip(out, (ids[i], int(links[i]), ids[int(root[i])]), strict=True):
-                column.append(v)
-
-    kind = None
+
+    def settle(t: pa.Table) -> pa.RecordBatch | None:
+        n = t.num_rows
+        dim, p, q = (t.column(c)[0].as_py() for c in ("dim", "p", "q"))
+        x = _matrix(b"".join(t.column("vector").to_pylist()), kind, dim)
+        weight, side = t.column("weight").to_numpy(), t.column("side").to_numpy()
+        before = None
+        links, edges = np.zeros(n, np.int64), []
+        for rows, columns in _tiles(n, side, p != q, block):
+            near = x[rows] @ x[columns].T >= threshold
+            if rows is columns:
+                near = np.triu(near, 1)
+            i, j = np.nonzero(near)
+            if not len(i):
+                continue
+            if before is None:
+                before = [np.frombuffer(v, "<i4") for v in t.column("before").to_pylist()]
+            i, j = rows[i], columns[j]
+            new = ~_met(before, i, j)  # a pair that met before was counted and united there
+            i, j = i[new], j[new]
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            root = _roots(n, i, j)
+            moved = np.flatnonzero(root != np.arange(n))
+            edges.append(np.stack([moved, root[moved]]))
+        if not edges:
+            return None
+        a, b = np.concatenate(edges, axis=1)
+        root = _roots(n, a, b)
+        hit = np.flatnonzero((links > 0) | (root != np.arange(n)))
+        ids = t.column("id").combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), pa.array(links[hit]), ids.take(pa.array(root[hit]))], names=["id", "links", "root"])
+
+    def groups(t: pa.Table) -> np.ndarray:
+        """Where runs start."""
+        labels = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        new = labels[1:] != labels[:-1]
+        for c in ("dim", "leaf", "p", "q"):
+            v = t.column(c).to_numpy()
+            new |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    held: list[pa.RecordBatch] = []
+    n = 0
     for b in batches:
-        kind = b.column("id").type
-        names = ("label", "dim", "leaf", "p", "q", "id", "weight", "unit", "leaves", "side")
-        for label, dim, leaf, p, q, id_, weight, unit, leaves, side in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-            if (label, dim, leaf, p, q) != now:
-                if len(rows) > 1:
-                    settle()
-                now, rows = (label, dim, leaf, p, q), []
-            rows.append((id_, weight, unit, leaves, side))
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], names=["id", "links", "root"])
-            out = [[], [], []]
-    if len(rows) > 1:
-        settle()
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], names=["id", "links", "root"])
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n < 4096:
+            continue
+        t = pa.Table.from_batches(held)
+        first = groups(t)
+        for a, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if e - a > 1 and (out := settle(t.slice(a, e - a))) is not None:
+                yield out
+        held = t.slice(int(first[-1])).to_batches()
+        n = sum(x.num_rows for x in held)
+    if n:
+        t = pa.Table.from_batches(held)
+        first = [*groups(t).tolist(), n]
+        for a, e in zip(first[:-1], first[1:], strict=True):
+            if e - a > 1 and (out := settle(t.slice(a, e - a))) is not None:
+                yield out
 
 
 def near_duplicates(
@@ -271,40 +369,37 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
     light = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"))
-    kind, label_kind = (light.schema[c].dataType.simpleString() for c in ("id", "label"))
-    units = light.mapInArrow(_units, f"id {kind}, label {label_kind}, dim int, unit binary, digest binary")
-    units = materialize(units.where("id is not null and label is not null and unit is not null").dropDuplicates(["id", "label", "digest"]), "units")
+    kind, label_kind, number = (t.simpleString() for t in (light.schema["id"].dataType, light.schema["label"].dataType, light.schema["v"].dataType.elementType))
+    number = "<f4" if number == "float" else "<f8"
+    units = light.mapInArrow(lambda it: _units(it, number), f"id {kind}, label {label_kind}, dim int, vector binary, digest binary")
+    units = materialize(units.where("id is not null and label is not null and vector is not null").dropDuplicates(["id", "label", "digest"]), "units")
     folded = units.groupBy("label", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     members = materialize(units.select("id", "label", "digest").join(folded, ["label", "digest"]).select("id", "rep", "label", "digest", "weight"), "copies")
-    reps = units.join(members.where("id = rep").select("id", "label", "digest", "weight"), ["id", "label", "digest"])
+    reps = materialize(units.join(members.where("id = rep").select("id", "label", "digest", "weight"), ["id", "label", "digest"]).select("id", "label", "dim", "vector", "weight"), "reps")
     sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n"), F.sum("n").alias("all"))
-    # the longest dimensions with a forest: each one has its own (as many as there are vector lengths; one as a rule)
-    placed = None
+    # each vector length with a forest has its own (one as a rule)
+    compared = None
     for r in sizes.collect():
         own = reps.where(F.col("dim") == r.dim)
         plan = plan_forest(r.n, r.dim, threshold, leaf, miss)
         forest: list = [0]
-        if plan[0]:
-            taken = own.select("unit").orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # bounded by `sample`
-            forest = build_forest(np.frombuffer(b"".join(bytes(t.unit) for t in taken), "<f8").reshape(-1, r.dim), plan, r.n, threshold, leaf, miss, seed)
-
-        def place(batches: Iterator[pa.RecordBatch], forest=forest, dim=r.dim) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    x = np.frombuffer(b"".join(b.column("unit").to_pylist()), "<f8").reshape(-1, dim)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves_of(x, forest), pa.list_(pa.int64()))], names=[*b.schema.names, "leaves"])
-
-        part = own.select("id", "label", "dim", "unit", "weight").mapInArrow(place, f"id {kind}, label {label_kind}, dim int, unit binary, weight long, leaves array<long>")
-        placed = part if placed is None else placed.union(part)
-    if placed is None:
+        blocks: dict = {}
+        if plan[0] or r.n > block:
+            taken = own.select("label", "vector").orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # bounded by `sample`
+            x = _matrix(b"".join(bytes(t.vector) for t in taken), number, r.dim)
+            if plan[0]:
+                forest = build_forest(x, plan, r.n, threshold, leaf, miss, seed)
+            row, at = placed_in(x, forest)
+            seen = Counter(zip((taken[k].label for k in row.tolist()), at.tolist(), strict=True))
+            scale = r["all"] / len(taken)
+            blocks = {k: math.ceil(n * scale / block) for k, n in seen.items() if n * scale > 2 * block}
+        schema = f"id {kind}, label {label_kind}, dim int, vector binary, weight long, leaf int, p int, q int, side int, before binary"
+        dealt = own.mapInArrow(lambda it, forest=forest, blocks=blocks, dim=r.dim: _placed(it, forest, blocks, number, dim), schema)
+        keys = ["label", "dim", "leaf", "p", "q"]
+        part = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _compare(it, threshold, number, block), f"id {kind}, links long, root {kind}")
+        compared = part if compared is None else compared.union(part)
+    if compared is None:
         return light.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    placed = materialize(placed, "placed")
-    entries = placed.select("*", F.explode("leaves").alias("leaf"))
-    blocks = placed.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy("label", "dim", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = entries.join(blocks, ["label", "dim", "leaf"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # with one block a row goes once; else to its block's pair with every other
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("label", "dim", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "weight", "unit", "leaves", F.col("own").alias("side"))
-    compared = dealt.repartition("label", "dim", "leaf", "p", "q").sortWithinPartitions("label", "dim", "leaf", "p", "q").mapInArrow(lambda it: _compare(it, threshold), f"id {kind}, links long, root {kind}")
     compared = materialize(compared, "compared")
     links = compared.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     counted = members.join(links, "rep", "left").groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))

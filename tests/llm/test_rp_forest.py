@@ -81,3 +81,22 @@ def test_hot_group_of_near_copies(spark, share):
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: r.n_links for r in R.near_duplicates(df, leaf=64).collect()}
     assert [got[i] for i in range(n)] == near.sum(axis=1).tolist()
+
+
+@pytest.mark.parametrize("n", [12_000])
+def test_recall_of_a_built_forest(spark, n):
+    """Planted pairs just above the threshold in one label of more than 10,000 vectors: the forest has levels and spill."""
+    depth, trees, spill = R.plan_forest(n, 64, 0.93, R.LEAF, R.MISS)
+    assert depth >= 4 and spill > 0
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((n, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    side = rng.standard_normal((n // 2, 64))
+    side -= (side * x[: n // 2]).sum(axis=1, keepdims=True) * x[: n // 2]
+    side /= np.sqrt((side * side).sum(axis=1, keepdims=True))
+    cos = rng.uniform(0.9301, 0.94, (n // 2, 1))
+    x[n // 2 :] = cos * x[: n // 2] + np.sqrt(1 - cos * cos) * side
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in R.near_duplicates(df).collect()}
+    found = sum(got[i + n // 2] == (1, i) for i in range(n // 2))
+    assert found >= 0.999 * (n // 2)
