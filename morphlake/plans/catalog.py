@@ -16,6 +16,8 @@ from morphlake.operators import check, context, corpus, frequency, fuzzy, lexico
 from morphlake.profile import SAMPLE
 from morphlake.streaming import limits
 
+from . import oracles
+
 FLOOR = 5
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -250,7 +252,7 @@ def runtogether_splits(spark, d):
     return fuzzy.runtogether(c, corpus.ngrams(s, 2, 2), c.where(F.col("count") >= FLOOR).select("word"), FLOOR)
 
 
-@query()
+@query(oracles.compound_splits(LEXICON, SAMPLE))
 def compound_splits(spark, d):
     c = counts(spark, d)
     return fuzzy.compound_splits(c.select("word"), lexicon(c).select(F.col("surface").alias("word"), "pos"), SAMPLE)
@@ -314,7 +316,7 @@ def pool_admission_tally(spark, d):
 # ---------------------------------------------------------------- sounds and forms
 
 
-@query()
+@query(oracles.phonotactics(TOKENS, SAMPLE))
 def phonotactics(spark, d):
     return counts(spark, d).select("word", phonology.validate(F.col("word"), SAMPLE).alias("v")).select("word", "v.valid", F.concat_ws(";", "v.errors").alias("errors"), F.concat_ws(";", "v.warnings").alias("warnings"))
 
@@ -329,13 +331,13 @@ def syllables(spark, d):
     return phonetics.syllabify(counts(spark, d).select("word"), SAMPLE)
 
 
-@query()
+@query(oracles.sandhi_reverse(LEXICON, SAMPLE))
 def sandhi_reverse(spark, d):
     c = counts(spark, d)
     return sandhi.reverse(c.select("word"), lexicon(c).select("root"), SAMPLE)
 
 
-@query()
+@query(oracles.morph_parses(LEXICON, SAMPLE))
 def morph_parses(spark, d):
     c = counts(spark, d)
     p = morphology.parse(c.select("word"), lexicon(c).select(F.col("surface").alias("word"), "pos"), SAMPLE)
@@ -364,7 +366,7 @@ def edit_candidates(spark, d):
 # ---------------------------------------------------------------- decisions
 
 
-@query()
+@query(oracles.word_votes(LEXICON, SAMPLE))
 def word_votes(spark, d):
     r = resources(spark, d)
     v = check.vote(counts(spark, d).select("word"), r)
@@ -506,7 +508,7 @@ def running_text_rates(spark, d):
     return metrics.running_text(t.withColumn("flagged", F.length("tok") > 9))
 
 
-@query()
+@query(oracles.SIGN_TEST)
 def sign_test(spark, d):
     docs = read(spark, d, "documents")
     a = docs.select(F.col("doc_id").alias("item"), (F.col("n_chars") % 3 == 0).alias("right"))
