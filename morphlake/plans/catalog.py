@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from morphlake.functions import edits, phonetics, phonology, sandhi, text
 from morphlake.operators import check, context, corpus, frequency, fuzzy, lexicon as lex, lm, metrics, morphology, names, pool, repair, tokens, variants, vectors
 from morphlake.profile import SAMPLE
+from morphlake.sources.store import written
 from morphlake.streaming import limits
 
 from . import oracles
@@ -88,7 +89,8 @@ def sents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return corpus.ngrams(s, 1), corpus.ngrams(s, 2, 2), corpus.ngrams(s, 3, 2)
+    """Counts of written sentences, as written tables: a query uses each of them several times."""
+    return tuple(written(corpus.ngrams(s, n, least), f"grams{n}") for n, least in ((1, 1), (2, 2), (3, 2)))
 
 
 def lexicon(cnt: DataFrame, floor: int = FLOOR) -> DataFrame:
@@ -100,7 +102,7 @@ def lexicon(cnt: DataFrame, floor: int = FLOOR) -> DataFrame:
 
 
 def resources(spark: SparkSession, d: str) -> check.Resources:
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     return check.Resources(lexicon(c), SAMPLE, frequency=c.where(F.col("count") >= FLOOR).select("word", frequency.scale(F.col("count")).alias("frequency")))
 
 
@@ -141,13 +143,13 @@ def ngram_trigrams(spark, d):
 @query(f"""with {SENTS}, flat as (select 1 as n, w1 as gram, count from uni where w1 not in ('<s>', '</s>') union all select 2, w1 || chr(9) || w2, count from bi union all select 3, w1 || chr(9) || w2 || chr(9) || w3, count from tri)
     select n, count(*) as grams, sum(count)::bigint as occurrences from flat group by n""")
 def ngram_info(spark, d):
-    return corpus.ngram_info(corpus.flat_grams(*model(sents(spark, d))))
+    return corpus.ngram_info(corpus.flat_grams(*model(written(sents(spark, d), "sents"))))
 
 
 @query(f"""with {SENTS}, pr as (select distinct p[i] as v, p[i + 1] as w from spot where i < len(p)) select v, w, round({_s2("v", "w", "v1.count", "w1.count", "vw.count")}, 6) as s2
     from pr left join bi vw on vw.w1 = v and vw.w2 = w left join uni v1 on v1.w1 = v left join uni w1 on w1.w1 = w cross join tot""")
 def lm_bigram_scores(spark, d):
-    s = sents(spark, d)
+    s = written(sents(spark, d), "sents")
     uni, bi, _ = model(s)
     pairs = corpus.ngrams(s, 2).select(F.col("w1").alias("v"), F.col("w2").alias("w"))
     return lm.bigram_scores(pairs, uni, bi).withColumn("s2", F.round("s2", 6))
@@ -156,7 +158,7 @@ def lm_bigram_scores(spark, d):
 @query(f"""with {SENTS}, rq as (select md5, position, n, p[i - 2] as u, p[i - 1] as v, p[i] as w from spot where i > 2)
     select md5, position, n::int as n_tokens, round(sum(ln(greatest({_s3()}, 1e-10))), 6) as logprob from rq {_S3_JOINS} group by md5, position, n""")
 def lm_sentence_logprob(spark, d):
-    s = sents(spark, d)
+    s = written(sents(spark, d), "sents")
     return lm.sentence_logprob(s, *model(s)).withColumn("logprob", F.round("logprob", 6))
 
 
@@ -164,7 +166,7 @@ def lm_sentence_logprob(spark, d):
     rq as (select word, l2, l1, r1, r2, l2 as u, l1 as v, word as w from sl union all select word, l2, l1, r1, r2, l1, word, r1 from sl union all select word, l2, l1, r1, r2, word, r1, r2 from sl)
     select word, l2, l1, r1, r2, round(sum(ln(greatest({_s3()}, 1e-10))), 6) as slot_score from rq {_S3_JOINS} group by word, l2, l1, r1, r2""")
 def lm_slot_scores(spark, d):
-    s = sents(spark, d)
+    s = written(sents(spark, d), "sents")
     slots = lm.contexts(s).select("word", "l2", "l1", "r1", "r2").distinct()
     return lm.slot_scores(slots, *model(s)).withColumn("slot_score", F.round("slot_score", 6))
 
@@ -182,7 +184,7 @@ def freq_scale(spark, d):
     select word, pseudo::bigint as pseudo, case when own is not null then greatest(1, round_even(log2(1 + own) * 2, 0)) when plain <> word and coalesce(folded, 0) > 0 then greatest(1, round_even(log2(1 + floor(folded * 0.9)) * 2, 0))
         else greatest(1, least(3, round_even(pseudo / 25 * 3, 0))) end::bigint as frequency, case when own is not null then 'attested' when plain <> word and coalesce(folded, 0) > 0 then 'inherited' else 'absent' end as source from j""")
 def freq_remap(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     w = lexicon(c).select(F.col("surface").alias("word"), "count")
     tab = w.select("word", F.least("count", F.lit(25)).cast("long").alias("pseudo")).union(w.select(F.concat("word", F.lit("ï")), F.lit(20).cast("long"))).union(w.select(F.concat(F.lit("zz"), "word"), F.lit(12).cast("long")))
     return frequency.remap(tab, c)
@@ -200,7 +202,7 @@ def string_scalars(spark, d):
     m as (select word, 0 as k, surface from q join k on word = surface union all select word, 1, surface from q join k on word = root union all select word, 2, surface from q join k on f = fold)
     select word, ['surface', 'root', 'fold'][(b.k + 1)::int] as matched_on, 'e' || md5(b.surface) as entry_id from cnt left join (select word as w, arg_min({{'k': k, 'surface': surface}}, (k, abs(length(surface) - length(word)), surface)) as b from m group by word) on w = word""")
 def fold_lookup(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     return lex.lookup(c.select("word"), lexicon(c)).select("word", "matched_on", "entry_id")
 
 
@@ -254,7 +256,7 @@ def runtogether_splits(spark, d):
 
 @query(oracles.compound_splits(LEXICON, SAMPLE))
 def compound_splits(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     return fuzzy.compound_splits(c.select("word"), lexicon(c).select(F.col("surface").alias("word"), "pos"), SAMPLE)
 
 
@@ -269,7 +271,7 @@ def delete_index(spark, d):
 @query(f"""with {TOKENS}, ix as (select deletion, word as cand from (select word, unnest({DELETES}) as deletion from cnt where count >= {FLOOR}) where deletion <> ''), qx as (select word as query, unnest({DELETES}) as deletion from cnt where count < {FLOOR})
     select distinct query, cand from qx join ix using (deletion) where query <> cand""")
 def fuzzy_candidates(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     return fuzzy.candidates(rare_words(c), fuzzy.delete_index(c.where(F.col("count") >= FLOOR), 1), 1)
 
 
@@ -282,7 +284,7 @@ def delete_index_two(spark, d):
 @query()
 def fuzzy_candidates_two(spark, d):
     """The pairs of the production join, over the index of up to two deletions; fuzzy_candidates has those of one."""
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     return fuzzy.candidates(rare_words(c), fuzzy.delete_index(c.where(F.col("count") >= FLOOR), 2), 2)
 
 
@@ -291,19 +293,19 @@ def fuzzy_candidates_two(spark, d):
         where damerau_levenshtein(translate(word, 'ñï', '12'), translate(neighbour, 'ñï', '12')) = 1 and regexp_full_match(coalesce(array_to_string(list_filter(string_split(neighbour, ''), lambda x: not list_contains(string_split(word, ''), x)), ''), ''), '[a-z]*'))
     select word, arg_min({{'n': neighbour, 'c': c}}, (-c, k, neighbour)).n as neighbour, max(c) as neighbour_count from ok group by word""")
 def dominated_types(spark, d):
-    return fuzzy.dominant_neighbour(counts(spark, d))
+    return fuzzy.dominant_neighbour(written(counts(spark, d), "counts"))
 
 
 @query()
 def nearest_known(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     return fuzzy.nearest_known(rare_words(c), c.where(F.col("count") >= FLOOR), SAMPLE).withColumn("distance", F.round("distance", 3))
 
 
 @query(f"""with {TOKENS}, s as (select word, unnest(range(1, length(word))) as i from cnt where count < {FLOOR}), m as (select word, i, left(word, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) as swapped from s)
     select word, arg_min(swapped, i) as swapped from m where swapped <> word and swapped in (select word from cnt where count >= {FLOOR}) group by word""")
 def swapped_known(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     return fuzzy.swapped_known(rare_words(c), c.where(F.col("count") >= FLOOR))
 
 
@@ -333,26 +335,26 @@ def syllables(spark, d):
 
 @query(oracles.sandhi_reverse(LEXICON, SAMPLE))
 def sandhi_reverse(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     return sandhi.reverse(c.select("word"), lexicon(c).select("root"), SAMPLE)
 
 
 @query(oracles.morph_parses(LEXICON, SAMPLE))
 def morph_parses(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     p = morphology.parse(c.select("word"), lexicon(c).select(F.col("surface").alias("word"), "pos"), SAMPLE)
     return p.select("word", "status", "root", "root_known", "chain", "score", F.size("alternatives").alias("n_alternatives"))
 
 
-@query()
+@query(oracles.complex_words(LEXICON, SAMPLE))
 def complex_words(spark, d):
-    c = counts(spark, d)
-    return morphology.complex_words(c.select("word"), lexicon(c).select(F.col("surface").alias("word"), "pos"), SAMPLE)
+    c = written(counts(spark, d), "counts")
+    return morphology.complex_words(c.select("word"), lexicon(c).select(F.col("surface").alias("word"), "pos"), SAMPLE).withColumn("components", F.array_join("components", "+"))
 
 
 @query()
 def spelling_variants(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     w = c.select(F.translate("word", "éíóú", "eiou").alias("word")).union(c.select("word"))
     return variants.find(w, lexicon(c), SAMPLE)
 
@@ -399,13 +401,13 @@ def _spans(spark, d) -> DataFrame:
 
 @query()
 def realword_flags(spark, d):
-    c, s = counts(spark, d), sents(spark, d)
+    c, s = written(counts(spark, d), "counts"), written(sents(spark, d), "sents")
     return context.realword(_spans(spark, d), lexicon(c), c, *model(s), "key", "abcdefghijklmnopqrstuvwxyz")
 
 
 @query()
 def context_rerank(spark, d):
-    c, s = counts(spark, d), sents(spark, d)
+    c, s = written(counts(spark, d), "counts"), written(sents(spark, d), "sents")
     spans = _spans(spark, d).withColumn("plain", F.translate(text.unaccented(F.lower("tok")), "'", ""))
     spans = context.with_context(spans, ["key"])
     sets = context.confusion_sets(spans.select(F.lower("tok").alias("word")), lexicon(c), c, "abcdefghijklmnopqrstuvwxyz", 5)
@@ -524,7 +526,10 @@ def margin_sweep(spark, d):
     return metrics.margin_sweep(r, [6.0, 7.0, 8.0, 10.0])
 
 
-@query()
+LIMITS = ((2, 86400), (5, 7 * 86400))
+
+
+@query(oracles.rate_limits(LIMITS))
 def rate_limit_decisions(spark, d):
     e = read(spark, d, "events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("ts"))
-    return limits.replay(e, ((2, 86400), (5, 7 * 86400)))
+    return limits.replay(e, LIMITS)

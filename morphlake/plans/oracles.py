@@ -112,3 +112,27 @@ def word_votes(cte: str, p: LanguageProfile) -> str:
 SIGN_TEST = """with r as (select count(*) filter (n_chars % 3 <> 0 and n_chars % 5 < 2) as fixed, count(*) filter (n_chars % 3 = 0 and n_chars % 5 >= 2) as broken from documents),
     s as (select fixed, broken, fixed + broken as n, unnest(range(0, least(fixed, broken) + 1)) as i from r)
     select fixed, broken, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 9) as p_value from s group by fixed, broken"""
+
+
+def rate_limits(rules: tuple[tuple[int, int], ...]) -> str:
+    """Decisions of two windows, event by event of each visitor."""
+    (l1, w1), (l2, w2) = rules
+    return f"""with recursive e as (select event_id, user_id as key, epoch(ts)::double as t, row_number() over (partition by user_id order by ts, event_id) as rn from events where user_id is not null and ts is not null),
+    d as (select event_id, key, t, rn, t as o1, 1 as n1, t as o2, 1 as n2, null::bigint as wait from e where rn = 1
+        union all select event_id, key, t, rn, o1, case when wait is null then n1 + 1 else n1 end, o2, case when wait is null then n2 + 1 else n2 end, wait
+        from (select *, case when n1 >= {l1} or n2 >= {l2} then greatest(1, ceil(greatest(case when n1 >= {l1} then o1 + {w1} - t else 0 end, case when n2 >= {l2} then o2 + {w2} - t else 0 end)))::bigint end as wait
+            from (select e.event_id, e.key, e.t, e.rn, case when d.o1 + {w1} <= e.t then e.t else d.o1 end as o1, case when d.o1 + {w1} <= e.t then 0 else d.n1 end as n1,
+                case when d.o2 + {w2} <= e.t then e.t else d.o2 end as o2, case when d.o2 + {w2} <= e.t then 0 else d.n2 end as n2 from d join e on e.key = d.key and e.rn = d.rn + 1)))
+    select event_id, key, t as ts, wait from d union all select event_id, user_id, epoch(ts)::double, null from events where user_id is null or ts is null"""
+
+
+def complex_words(cte: str, p: LanguageProfile) -> str:
+    """Hyphenated patterns and solid compounds."""
+    bare = lambda c: f"translate({c}, {_text(p.vowels)}, '')"
+    solid = compound_splits(cte, p).split("select word, m.l as left", 1)[0]
+    return f"""{solid}, h as (select word, x[1] as a, x[2] as b, x[3] as c, len(x) as n from (select word, string_split(word, '-') as x from cnt)),
+    k as (select word, a, b, case when n = 3 and b = c then 'triplication' when n = 3 and a = c and b in {_list(p.interfixes_a)} then 'reduplication_interfix_A' when n = 3 and a = c and b in {_list(p.interfixes_b)} then 'reduplication_interfix_B'
+        when n = 2 and a = b then 'total_reduplication' when n = 2 and {bare("a")} = {bare("b")} and {bare("a")} <> '' then 'partial_reduplication_vowel'
+        when n = 2 and (a in (select surface from lexi) or b in (select surface from lexi)) then 'compound_hyphenated' when n = 2 then 'potential_compound' end as type from h where n > 1)
+    select word, type, case when type in ('reduplication_interfix_A', 'reduplication_interfix_B', 'total_reduplication') then a else a || '+' || b end as components from k where type is not null
+    union all select word, 'compound_fusion', m.l || '+' || m.r from best where not contains(word, '-')"""
