@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions import edits, phonetics, phonology, sandhi, text
-from morphlake.operators import check, context, corpus, frequency, fuzzy, lexicon as lex, lm, metrics, morphology, names, pool, repair, tokens, variants, vectors
+from morphlake.operators import analysis, check, context, corpus, frequency, fuzzy, lexicon as lex, lm, metrics, morphology, names, pool, repair, tokens, variants, vectors
 from morphlake.profile import SAMPLE
 from morphlake.sources.store import written
 from morphlake.streaming import limits
@@ -394,6 +394,45 @@ def corrected_text(spark, d):
     return check.correct_text(docs, check.check_text(docs, resources(spark, d), "key"), "key").select("key", "corrected")
 
 
+@query()
+def word_verdicts(spark, d):
+    c = written(counts(spark, d), "counts")
+    out = analysis.analyse(c.select("word"), resources(spark, d))
+    return out.withColumns({"components": F.array_join("components", "+"), "offered": F.array_join("offered", ",")})
+
+
+@query()
+def text_corrections(spark, d):
+    docs = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    return analysis.text_corrections(docs, resources(spark, d), "key", counts=written(counts(spark, d), "counts"))
+
+
+@query()
+def ranked_suggestions(spark, d):
+    """The production search, over deletions of up to two characters, for every rare type."""
+    c = written(counts(spark, d), "counts")
+    freq = c.select("word", frequency.scale(F.col("count")).alias("frequency"))
+    return fuzzy.ranked(rare_words(c), c.where(F.col("count") >= FLOOR).select("word"), freq, SAMPLE)
+
+
+@query(f"with {LEXICON} select surface as word from lexi union select root from lexi")
+def content_words(spark, d):
+    return analysis.content_words(lexicon(counts(spark, d)))
+
+
+@query(oracles.welded(TOKENS, FLOOR, SAMPLE))
+def welded_words(spark, d):
+    return analysis.welded(rare_words(counts(spark, d)), resources(spark, d))
+
+
+@query(oracles.missing_space(LEXICON, FLOOR))
+def missing_space(spark, d):
+    c = written(counts(spark, d), "counts")
+    pairs = fuzzy.runtogether(c, c.limit(0).select(F.col("word").alias("w1"), F.col("word").alias("w2"), "count"), c.where(F.col("count") >= FLOOR).select("word"), FLOOR)
+    glued = lexicon(c).select(F.concat("surface", "root").alias("word")).distinct()
+    return analysis.missing_space(glued.union(c.select("word")).distinct(), pairs, c)
+
+
 def _spans(spark, d) -> DataFrame:
     t = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
     return tokens.sentence_index(tokens.word_spans(t, "text", "key"), ["key"])

@@ -136,3 +136,17 @@ def complex_words(cte: str, p: LanguageProfile) -> str:
         when n = 2 and (a in (select surface from lexi) or b in (select surface from lexi)) then 'compound_hyphenated' when n = 2 then 'potential_compound' end as type from h where n > 1)
     select word, type, case when type in ('reduplication_interfix_A', 'reduplication_interfix_B', 'total_reduplication') then a else a || '+' || b end as components from k where type is not null
     union all select word, 'compound_fusion', m.l || '+' || m.r from best where not contains(word, '-')"""
+
+
+def welded(cte: str, floor: int, p: LanguageProfile) -> str:
+    fold = lambda c: f"translate(translate({c}, 'ïñáéíóúý', 'inaeiouy'), '''', '')"
+    return f"""with {cte}, s as (select word, unnest(range(1, length(word))) as k from cnt where count < {floor}), h as (select word, k, left(word, k) as head, substr(word, k + 1) as rest from s)
+    select word, arg_min(head, k) as head, arg_min(rest, k) as rest from h where head in {_list(p.free_morphemes)} and length(rest) >= 2 and {fold("rest")} in (select {fold("word")} from cnt where count >= {floor}) group by word"""
+
+
+def missing_space(cte: str, floor: int) -> str:
+    plain = "translate(translate(word, 'ïñáéíóúýÏÑÁÉÍÓÚÝ', 'inaeiouyINAEIOUY'), '''', '')"
+    return f"""with {cte}, a as (select surface || root as word from lexi union select word from cnt), known as (select word from cnt where count >= {floor}),
+    c as (select word, unnest(range(1, length(word))) as k from cnt where count >= {floor}),
+    f as (select distinct word from c where (k > 1 or left(word, k) in ('u', 'i')) and (length(word) - k > 1 or substr(word, k + 1) in ('u', 'i')) and left(word, k) in (from known) and substr(word, k + 1) in (from known))
+    select word from a where word in (from f) or (not contains(word, '-') and {plain} not in (select word from cnt))"""
