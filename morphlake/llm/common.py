@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- shared tables
-
-
-_OWN: list[str] = []
+from morphlake.sources.store import written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset on one machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:  # only where the session names none, as in tests
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="morphlake-"))
-        where = _OWN[0]
-    return where.rstrip("/")
+# ---------------------------------------------------------------- shared tables
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/morphlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def free_name(df: DataFrame, name: str) -> str:

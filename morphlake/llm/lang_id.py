@@ -9,7 +9,9 @@ every language holds say nothing and drop out. The language with the highest cor
 
 Whole texts are read. `und` with score 0 stands for null texts and texts without a letter; a text with a letter but
 without a known n-gram gets the most frequent label with score 0. lang, source and id never enter a prediction. Without
-a labelled row every text is `und`. Repeated rows are predicted each; more columns are not read.
+a labelled row every text is `und`. Repeated rows are predicted each, rows of one id in the sample rank by it in any order;
+more columns, whatever their names, are not read. The driver holds the n-grams of the sampled rows only: `per_language` texts
+of each language, those below `floor` left out.
 """
 
 from __future__ import annotations

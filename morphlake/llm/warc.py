@@ -15,7 +15,8 @@ as rows of a binary column in the shared folder; `read_archives` takes such rows
 so neither side opens a local path. The dictionary is trained on at most `sample` payloads (those of least id hash).
 
 Null payloads are empty. Null ids are written and come back as null. Repeated rows each get a record; an empty table gives
-no rows.
+no rows; other columns, whatever their names, are not read. Payloads of any length are written whole (a record must stay
+below 2 GiB, the limit of a binary value; a longer one raises an error); only the dictionary is trained on heads of 64 KiB.
 """
 
 from __future__ import annotations

@@ -72,3 +72,40 @@ def test_more_languages_than_a_word_has_bits(spark):
     grams = [np.unique(rng2.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(130)]
     wide = L.Model([f"l{i:03}" for i in range(130)], grams, 1 << 16)
     assert all((wide.masks(own, i // 64) >> np.uint64(i % 64) & np.uint64(1)).all() for i, own in enumerate(grams))
+
+
+def test_equals_plain_sets(spark):
+    """The query's rows against plain Python sets of n-grams (filters so large that false positives do not decide)."""
+    data = [(i, t + (" été" if i % 9 == 0 else ""), lang, "x") for i, t, lang, _ in rows(240, 5)] + [(900, None, "en", "x"), (901, "12 !", None, "x"), (902, "Zzz qqq", None, "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, lang_pred string").repartition(3)
+
+    def grams(t):
+        folded = " " + " ".join(t.lower().split()) + " "
+        return [folded[i : i + n] for n in L.SIZES for i in range(len(folded) - n + 1)]
+
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in data}
+    train = [(t, lang) for i, t, lang, _ in data if not held[i] and t is not None and lang is not None]
+    names = sorted({lang for _, lang in train})
+    size = {k: sum(lang == k for _, lang in train) for k in names}
+    sets = {}
+    for k in names:
+        seen = {}
+        for t, lang in train:
+            if lang == k:
+                for g in set(grams(t)):
+                    seen[g] = seen.get(g, 0) + 1
+        least = min(L.FLOOR, max(1, size[k] // 3))
+        sets[k] = {g for g, n in seen.items() if n >= least}
+    for r in L.identify(df).collect():
+        text = next(t for i, t, *_ in data if i == r.doc_id)
+        if not text or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        g = [x for x in grams(text) if not all(x in sets[k] for k in names)]
+        counts = {k: sum(x in sets[k] for x in g) for k in names}
+        total = sum(counts.values())
+        if not total:
+            assert r.score < 0.5
+            continue
+        best = max(names, key=lambda k: counts[k])
+        assert r.lang_pred == best and abs(r.score - counts[best] / total) < 0.01
