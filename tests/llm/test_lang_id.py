@@ -107,5 +107,5 @@ def test_equals_plain_sets(spark):
         if not total:
             assert r.score < 0.5
             continue
-        best = max(names, key=lambda k: counts[k])
-        assert r.lang_pred == best and abs(r.score - counts[best] / total) < 0.01
+        # equal counts are parted by the filters' corrections, which differ
+        assert counts[r.lang_pred] == max(counts.values()) and abs(r.score - counts[r.lang_pred] / total) < 0.01, (r, counts, text)
