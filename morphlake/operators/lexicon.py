@@ -168,3 +168,26 @@ def stitched_phonology(lexicon: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+
+
+def by_id(ids: DataFrame, lexicon: DataFrame, key: str = "entry_id") -> DataFrame:
+    """The entries of the asked ids; ids without an entry give no row."""
+    return lexicon.join(ids.select(key).distinct(), key, "left_semi").select(*lexicon.columns)
+
+
+def enriched(ids: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The asked entries in their nested shape."""
+    return nest(by_id(ids, lexicon))
+
+
+def vocabulary_size(forms: DataFrame) -> DataFrame:
+    """One row (words): how many distinct forms may be offered."""
+    return forms.agg(F.countDistinct("word").alias("words"))
+
+
+def word_forms(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
+    """(word, forms array): all surfaces that share the word's root, sorted; words without an entry are left out."""
+    own = lexicon.where("root != ''").select(F.lower("surface").alias("form"), F.lower("root").alias("__root")).distinct()
+    asked = words.select(F.lower(word).alias("word")).distinct()
+    roots = asked.join(own.withColumnRenamed("form", "word"), "word").select("word", "__root").union(asked.join(own.select("__root").distinct(), F.col("word") == F.col("__root")).select("word", "__root")).distinct()
+    return roots.join(own, "__root").groupBy("word").agg(F.array_sort(F.collect_set("form")).alias("forms"))

@@ -359,7 +359,7 @@ def spelling_variants(spark, d):
     return variants.find(w, lexicon(c), SAMPLE)
 
 
-@query()
+@query(oracles.edit_candidates(TOKENS, SAMPLE))
 def edit_candidates(spark, d):
     c = counts(spark, d)
     return c.select("word", F.array_join(edits.normalised(F.col("word")), " ").alias("normalised"), F.array_join(edits.banned_repairs(F.col("word"), SAMPLE), " ").alias("repairs"))
@@ -512,6 +512,18 @@ def phrase_verdicts(spark, d):
     return morphology.phrase_verdicts(t, c.union(bad), "key").select("key.conv_id", "key.turn", "n", "verdict")
 
 
+@query(f"with {LEXICON}, f as (select surface as form, root from lexi), r as (select surface as word, root from lexi union select root, root from lexi) select word, array_to_string(list_sort(list(distinct form)), ',') as forms from r join f using (root) group by word")
+def word_forms(spark, d):
+    e = written(lexicon(counts(spark, d)), "lexicon")
+    asked = e.select(F.col("surface").alias("word")).union(e.select("root"))
+    return lex.word_forms(asked, e).withColumn("forms", F.array_join("forms", ","))
+
+
+@query(f"with {LEXICON} select count(distinct w) as words from (select surface as w from lexi union all select root from lexi)")
+def vocabulary_size(spark, d):
+    return lex.vocabulary_size(lex.surface_forms(lexicon(counts(spark, d))))
+
+
 @query()
 def lexicon_repair(spark, d):
     c = counts(spark, d)

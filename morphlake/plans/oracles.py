@@ -150,3 +150,19 @@ def missing_space(cte: str, floor: int) -> str:
     c as (select word, unnest(range(1, length(word))) as k from cnt where count >= {floor}),
     f as (select distinct word from c where (k > 1 or left(word, k) in ('u', 'i')) and (length(word) - k > 1 or substr(word, k + 1) in ('u', 'i')) and left(word, k) in (from known) and substr(word, k + 1) in (from known))
     select word from a where word in (from f) or (not contains(word, '-') and {plain} not in (select word from cnt))"""
+
+
+def edit_candidates(cte: str, p: LanguageProfile) -> str:
+    """Orthographic rewrites, in their order, and repairs of banned letters, sorted."""
+    vowels = "aáeéiíoóuúyýï"
+    between = f"'([^{vowels}])e([^{vowels}])', '\\1ie\\2', 'g'"
+    table = " ".join(f"when {_text(k)} then {_array(v)}" for k, v in p.banned.items())
+    pairs = ", ".join(f"case when contains(w, {_text(a)}) then replace(w, {_text(a)}, {_text(b)}) end" for a, b in p.banned_pairs)
+    return f"""with {cte}, c as (select word as w, string_split(word, '') as cs, length(word) as n from cnt),
+    t as (select w, [array_to_string(list_filter(cs, lambda x, i: i = 1 or x <> cs[i - 1] or contains('{vowels}', x)), ''), case when ends_with(w, 'ng') and not ends_with(w, 'ang') then left(w, n - 2) || 'n' end,
+            case when ends_with(w, 'n') then w || 'g' end, case when ends_with(w, 'gn') then left(w, n - 2) || 'ng' end, case when ends_with(w, 'g') and not ends_with(w, 'ng') then left(w, n - 1) || 'ng' end,
+            case when contains(w, 'ie') then regexp_replace(w, 'ie', 'i') end, case when contains(w, 'ie') then regexp_replace(w, 'ie', 'e') end, case when contains(w, 'ei') then regexp_replace(w, 'ei', 'ie') end,
+            case when not contains(w, 'ie') then regexp_replace(regexp_replace(w, {between}), {between}) end] as l,
+        [{pairs}] || flatten(list_transform(range(1, n + 1), lambda i: list_transform(case substr(w, i, 1) {table} else []::varchar[] end, lambda r: left(w, i - 1) || r || substr(w, i + 1)))) as b from c),
+    k as (select w, list_filter(l, lambda x: x is not null and x <> w and length(x) >= 2) as l, list_distinct(list_filter(b, lambda x: x is not null and x <> w and x <> '')) as b from t)
+    select w as word, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as normalised, array_to_string(list_sort(b)[1:12], ' ') as repairs from k"""
