@@ -309,9 +309,9 @@ def swapped_known(spark, d):
     return fuzzy.swapped_known(rare_words(c), c.where(F.col("count") >= FLOOR))
 
 
-@query()
+@query(oracles.pool_tally(TOKENS, DELETES, 60, 20, "q", pool.LATIN, SAMPLE))
 def pool_admission_tally(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     return pool.tally(pool.decide(c, lexicon(c, 60), SAMPLE, floor=20, banned="q"))
 
 

@@ -166,3 +166,22 @@ def edit_candidates(cte: str, p: LanguageProfile) -> str:
         [{pairs}] || flatten(list_transform(range(1, n + 1), lambda i: list_transform(case substr(w, i, 1) {table} else []::varchar[] end, lambda r: left(w, i - 1) || r || substr(w, i + 1)))) as b from c),
     k as (select w, list_filter(l, lambda x: x is not null and x <> w and length(x) >= 2) as l, list_distinct(list_filter(b, lambda x: x is not null and x <> w and x <> '')) as b from t)
     select w as word, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as normalised, array_to_string(list_sort(b)[1:12], ' ') as repairs from k"""
+
+
+def pool_tally(cte: str, deletes: str, headwords: int, floor: int, banned: str, latin: str, p: LanguageProfile) -> str:
+    """How many corpus words each admission test stops; headwords are the types of so many occurrences."""
+    fold = lambda c: f"translate(translate({c}, 'ïñáéíóúý', 'inaeiouy'), '''', '')"
+    restored = """regexp_replace(case when starts_with(word, 'ia') then 'ï' || substr(word, 2) when starts_with(word, 'jingia') then 'jingï' || substr(word, 6)
+        when starts_with(word, 'pynia') then 'pynï' || substr(word, 5) when starts_with(word, 'nongia') then 'nongï' || substr(word, 6) else word end, 'ain$', 'aiñ')"""
+    return f"""with {cte}, lx as (select word as surface, case when length(word) > 6 then left(word, length(word) - 3) else word end as root from cnt where count >= {headwords}),
+    forms as (select surface as word from lx union select root from lx), hi as (select word, count from cnt where count >= {floor}), {sounds(p, "hi", "snd")},
+    x as (select word, count, unnest({deletes}) as deletion from cnt), pr as (select distinct a.word, b.word as nb from x a join x b using (deletion) where a.count >= {floor} and a.word <> b.word and b.count >= a.count * 5),
+    dom as (select distinct word from pr where damerau_levenshtein(translate(word, 'ñï', '12'), translate(nb, 'ñï', '12')) = 1
+        and regexp_full_match(coalesce(array_to_string(list_filter(string_split(nb, ''), lambda x: not list_contains(string_split(word, ''), x)), ''), ''), '[a-z]*')),
+    r as (select word, count, {restored} as made from hi),
+    c as (select word, count, case when ends_with(made, 'aiñ') and not ends_with(word, 'aiñ') then regexp_replace(made, 'aiñ$', 'ain') else made end as canon from r),
+    d as (select c.word, count, case when c.word in (from forms) or {fold("c.word")} in (select {fold("surface")} from lx) then 'in_lexicon' when translate(c.word, {_text(latin)}, '') <> '' then 'foreign_char'
+        when translate(c.word, {_text(banned)}, '') <> c.word then 'banned_letter' when translate(c.word, 'ïñ', 'in') in (select translate(word, 'ïñ', 'in') from forms) then 'folds_onto_headword' when not valid then 'phonotactic'
+        when c.word in (from dom) then 'dominated' when canon <> c.word and canon in (from forms) then 'restored_onto_headword' else 'admitted' end as reason from c join snd on snd.word = c.word
+        union all select word, count, 'below_floor' from cnt where count < {floor})
+    select reason, count(*) as words, sum(count)::bigint as occurrences from d group by reason"""
