@@ -524,9 +524,9 @@ def vocabulary_size(spark, d):
     return lex.vocabulary_size(lex.surface_forms(lexicon(counts(spark, d))))
 
 
-@query()
+@query(oracles.lexicon_repair(LEXICON, SAMPLE))
 def lexicon_repair(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     base = lexicon(c).withColumn("surface", F.when(F.length("surface") % 5 == 0, F.concat("surface", F.lit("-"))).when(F.length("surface") % 7 == 0, F.concat("surface", F.lit(" (n.)"))).otherwise(F.col("surface")))
     return repair.outcomes(base, profile=SAMPLE).groupBy("outcome", "rule").agg(F.count("*").alias("n"))
 

@@ -185,3 +185,21 @@ def pool_tally(cte: str, deletes: str, headwords: int, floor: int, banned: str,
         when c.word in (from dom) then 'dominated' when canon <> c.word and canon in (from forms) then 'restored_onto_headword' else 'admitted' end as reason from c join snd on snd.word = c.word
         union all select word, count, 'below_floor' from cnt where count < {floor})
     select reason, count(*) as words, sum(count)::bigint as occurrences from d group by reason"""
+
+
+def lexicon_repair(cte: str, p: LanguageProfile) -> str:
+    """Outcomes of the standard rules over entries made to need some of them."""
+    rules = {
+        "white_space": r"trim(regexp_replace(s, '\s+', ' ', 'g'))", "trailing_hyphen": "regexp_replace(s, '-+$', '')",
+        "brackets": r"trim(regexp_replace(regexp_replace(s, '\([^()]*\)|\[[^\[\]]*\]', ' ', 'g'), '\s+', ' ', 'g'))", "double_i": "regexp_replace(s, 'i[iï]', 'ïi', 'g')",
+        "opening_ia": r"regexp_replace(regexp_replace(s, '^ia', 'ïa'), '^I([aA])', 'Ï\1')", "closing_tilde": "regexp_replace(s, 'ain$', 'aiñ')", "umlaut": "translate(s, 'äëöü', 'aeou')",
+        "apostrophes": "translate(s, '’ʼ`', '''''''')", "marks": r"regexp_replace(s, '[\^~«»•|{}\\]', '', 'g')",
+    }
+    first = ", ".join(f"case when {e} <> s and {e} <> '' then {{'rule': '{k}', 'made': {e}}} end" for k, e in rules.items())
+    return f"""with {cte}, b as (select md5(surface) as id, case when length(surface) % 5 = 0 then surface || '-' when length(surface) % 7 = 0 then surface || ' (n.)' else surface end as s, lower('gloss of ' || surface) as g from lexi),
+    f as (select id, s, g, list_filter([{first}], lambda x: x is not null)[1] as m from b),
+    met as (select f.id, bool_or(contains(f.g, b.g) or contains(b.g, f.g)) as same from f join b on lower(f.m.made) = lower(b.s) and f.id <> b.id group by f.id),
+    w as (select id, unnest(string_split_regex(lower(coalesce(m.made, s)), '\\s+')) as word from f), {sounds(p, "w", "snd")},
+    bad as (select distinct id from w join snd using (word) where not valid)
+    select case when same then 'duplicate' when same is not null then 'conflict' when bad.id is not null then 'quarantine' when m is not null then 'rewrite' else 'keep' end as outcome, m.rule as rule, count(*) as n
+    from f left join met on met.id = f.id left join bad on bad.id = f.id group by 1, 2"""
