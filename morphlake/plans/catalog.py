@@ -323,7 +323,7 @@ def phonotactics(spark, d):
     return counts(spark, d).select("word", phonology.validate(F.col("word"), SAMPLE).alias("v")).select("word", "v.valid", F.concat_ws(";", "v.errors").alias("errors"), F.concat_ws(";", "v.warnings").alias("warnings"))
 
 
-@query()
+@query(oracles.transcriptions(TOKENS))
 def transcriptions(spark, d):
     return phonetics.transcribe(counts(spark, d).select("word"))
 

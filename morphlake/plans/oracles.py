@@ -203,3 +203,22 @@ def lexicon_repair(cte: str, p: LanguageProfile) -> str:
     bad as (select distinct id from w join snd using (word) where not valid)
     select case when same then 'duplicate' when same is not null then 'conflict' when bad.id is not null then 'quarantine' when m is not null then 'rewrite' else 'keep' end as outcome, m.rule as rule, count(*) as n
     from f left join met on met.id = f.id left join bad on bad.id = f.id group by 1, 2"""
+
+
+def transcriptions(cte: str) -> str:
+    """Sounds of graphemes between their neighbours, part by part of hyphenated words."""
+    from morphlake.functions import phonetics as g2p
+
+    units = "|".join(sorted((*g2p.CONSONANTS, *g2p.VOWELS), key=len, reverse=True))
+    cuts = lambda c: f"regexp_extract_all({c}, {_text('(?s)' + units + '|.')})"
+    table = lambda d: "map([" + ", ".join(map(_text, d)) + "], [" + ", ".join(map(_text, d.values())) + "])"
+    vowel = lambda x: f"coalesce(list_contains({_array(g2p.VOWELS)}, {x}), false)"
+    consonant = lambda x: f"coalesce(list_contains({_array(g2p.CONSONANTS)}, {x}), false)"
+    closing = f"(g[i + 1] is null and i > 1 and {vowel('g[i - 1]')})"
+    sound = f"""case when {consonant("x")} then case when x = 'h' and {closing} then 'ʔ' when x in ('t', 'd') and {closing} and ends_with(g[i - 1], 'i') then 'c' else {table(g2p.CONSONANTS)}[x] end
+        when not {vowel("x")} then x when x = 'y' and {vowel("g[i + 1]")} then 'ʔ' when x = 'ï' and {vowel("g[i + 1]")} then 'j'
+        when {table(g2p.VOWELS)}[x] = 'i' and x not in ('y', 'ï') and {consonant("g[i + 1]")} and g[i + 1] <> 'h' and not {vowel("g[i + 2]")} then 'ɪ' else {table(g2p.VOWELS)}[x] end"""
+    return f"""with {cte}, p as (select word, unnest(range(1, len(l) + 1)) as k, unnest(l) as part from (select word, string_split(word, '-') as l from cnt)),
+    g as (select word, k, {cuts("part")} as g from p), s as (select word, string_agg(array_to_string(list_transform(g, lambda x, i: {sound}), ''), '-' order by k) as ipa from g group by word)
+    select word, '/' || ipa || '/' as surface, '{g2p.VERSION}' as generated_by, not contains(word, '-') and len(list_filter({cuts("word")}, lambda x: {vowel("x")})) = 1
+        and list_contains({_array(g2p.LONG_FINALS)}, {cuts("word")}[-1]) as needs_review from s"""
