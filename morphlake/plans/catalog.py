@@ -263,6 +263,9 @@ def compound_splits(spark, d):
 DELETES = "list_distinct([word] || list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)))"
 
 
+DELETES_TWO = f"list_distinct(flatten(list_transform({DELETES}, lambda z: {DELETES.replace('word', 'z')})))"
+
+
 @query(f"with {TOKENS}, x as (select word, unnest({DELETES}) as deletion from cnt where count >= {FLOOR}) select deletion, word from x where deletion <> ''")
 def delete_index(spark, d):
     return fuzzy.delete_index(counts(spark, d).where(F.col("count") >= FLOOR), 1)
@@ -275,13 +278,14 @@ def fuzzy_candidates(spark, d):
     return fuzzy.candidates(rare_words(c), fuzzy.delete_index(c.where(F.col("count") >= FLOOR), 1), 1)
 
 
-@query()
+@query(f"with {TOKENS}, x as (select word, unnest({DELETES_TWO}) as deletion from cnt where count >= {FLOOR}) select deletion, word from x where deletion <> ''")
 def delete_index_two(spark, d):
     """All deletions of up to two characters, as the reference's index has them; delete_index has one."""
     return fuzzy.delete_index(counts(spark, d).where(F.col("count") >= FLOOR), 2)
 
 
-@query()
+@query(f"""with {TOKENS}, ix as (select deletion, word as cand from (select word, unnest({DELETES_TWO}) as deletion from cnt where count >= {FLOOR}) where deletion <> ''), qx as (select word as query, unnest({DELETES_TWO}) as deletion from cnt where count < {FLOOR})
+    select distinct query, cand from qx join ix using (deletion) where query <> cand and deletion <> ''""")
 def fuzzy_candidates_two(spark, d):
     """The pairs of the production join, over the index of up to two deletions; fuzzy_candidates has those of one."""
     c = written(counts(spark, d), "counts")
