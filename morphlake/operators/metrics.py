@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the power of two by which the sign test's terms are scaled down.
+SHIFT = 400
+
 
 def _rate(a: Column, b: Column) -> Column:
     return F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
@@ -46,17 +49,22 @@ def paired(before: DataFrame, after: DataFrame, key: str = "item") -> DataFrame:
 
 
 def sign_test(rows: DataFrame, wins: str = "fixed", losses: str = "broken") -> DataFrame:
-    """rows with p_value: exact two-sided binomial, by a running product of ratios (no factorials)."""
+    """rows with p_value: exact two-sided binomial, by a running product of ratios (no factorials).
+
+    Terms outgrow doubles from some 1,000 items on, so term and sum are held as multiples of 2 ** shift.
+    """
     n, k = F.col(wins) + F.col(losses), F.least(wins, losses)
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"), F.lit(0).cast("long").alias("shift"))
     steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
 
     def step(a: Column, i: Column) -> Column:
-        t = a["term"] * (n - i + 1) / i
-        return F.struct(t.alias("term"), (a["sum"] + t).alias("sum"))
+        large = a["term"] > 2.0**SHIFT
+        down, shift = F.when(large, F.lit(2.0**-SHIFT)).otherwise(1.0), a["shift"] + F.when(large, SHIFT).otherwise(0)
+        t = a["term"] * down * ((n - i + 1) / i)
+        return F.struct(t.alias("term"), (a["sum"] * down + t).alias("sum"), shift.cast("long").alias("shift"))
 
-    tail = F.aggregate(steps, start, step, lambda a: a["sum"])
-    return rows.withColumn("p_value", F.round(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail * F.pow(F.lit(2.0), -n))), 9))
+    tail = F.aggregate(steps, start, step, lambda a: a["sum"] * F.pow(F.lit(2.0), a["shift"] - n))
+    return rows.withColumn("p_value", F.round(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)), 9))
 
 
 def margin_sweep(flags: DataFrame, margins: list[float]) -> DataFrame:

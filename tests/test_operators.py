@@ -169,6 +169,14 @@ def test_vectors_and_metrics(spark):
     assert [r.p_value for r in p] == [pytest.approx(0.00143, abs=1e-5), 1.0, 1.0]
 
 
+def test_sign_test_of_many_items(spark):
+    """Sums of binomials beyond a double's range, against whole numbers."""
+    pairs = [(700, 600), (2713, 1990), (4100, 4000), (12000, 12001)]
+    p = metrics.sign_test(spark.createDataFrame(pairs, "fixed long, broken long")).collect()
+    want = [min(1.0, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b)) for a, b in pairs[:3]] + [1.0]
+    assert [r.p_value for r in p] == pytest.approx(want, abs=2e-9)
+
+
 def test_two_deletion_queries_equal_brute_force(spark, tmp_path):
     """The registered queries reach pairs that are two deletions apart."""
     from itertools import combinations
