@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,37 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def give_back() -> None:
+    """Free memory that the allocators keep goes back to the system (where the C library can do that)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow: a worker that waits for its next task keeps no free memory of the last one.
+
+    Spark takes turns among the workers of an executor, so all of them would hold what the largest task took.
+    """
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return held
+
+
+def pieces(b: pa.RecordBatch, text: int | str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most limit bytes of text, one row at least: what is made of texts stays small."""
+    _, offsets = text_bytes(b.column(text))
+    for i, j in chunks(offsets, limit):
+        yield b.slice(i, j - i)
+
+
 # ---------------------------------------------------------------- words in Arrow batches
 
 _SPACE = np.zeros(256, np.bool_)

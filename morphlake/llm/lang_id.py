@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix
+from .common import free_name, frugal, mix
 
 PER_LANGUAGE = 1500
 SIZES = (2, 3, 4, 5)
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:

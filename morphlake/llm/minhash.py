@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, materialize, mix, shingle_sets, text_bytes
+from .common import components, free_name, frugal, materialize, mix, shingle_sets, text_bytes
 
 BANDS, ROWS = 27, 6
 BLOCK = 2048
@@ -127,12 +127,12 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
     side = reps.select("id", "places")
     likely = (
         pairs.join(side.withColumnsRenamed({"id": "a", "places": "pa"}), "a").join(side.withColumnsRenamed({"id": "b", "places": "pb"}), "b")
-        .select("a", "b", "pa", "pb").mapInArrow(lambda it: _likely(it, least), f"a {kind}, b {kind}")
+        .select("a", "b", "pa", "pb").mapInArrow(frugal(lambda it: _likely(it, least)), f"a {kind}, b {kind}")
     )
     likely = materialize(likely, "likely")
     a = texts.withColumnsRenamed({"id": "a", "text": "ta"})
     b = texts.withColumnsRenamed({"id": "b", "text": "tb"})
-    return likely.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _verified(it, percent), f"a {kind}, b {kind}")
+    return likely.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(frugal(lambda it: _verified(it, percent)), f"a {kind}, b {kind}")
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch], percent: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept): groups of documents linked by Jaccard similarity >= percent / 100."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInArrow(lambda it: signature_batches(it, bands, rows), f"id {kind}, n_shingles long, digest binary, bands array<long>, places binary"), "signed")
+    signed = materialize(texts.mapInArrow(frugal(lambda it: signature_batches(it, bands, rows)), f"id {kind}, n_shingles long, digest binary, bands array<long>, places binary"), "signed")
     named = signed.where("digest is not null and id is not null")
     # copies: rows of one set hang on its smallest id
     folded = named.groupBy("digest").agg(F.min("id").alias("rep"))
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.join(reps, "id").join(texts.where("id is not null"), "id").select("key", "p", "q", "side", "band", "id", "comp", "n_shingles", "places", "bands", "text")
     share = percent / 100
     least = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5
-    more = left.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(lambda it: _bucket_rows(it, percent, least), f"a {kind}, b {kind}")
+    more = left.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(frugal(lambda it: _bucket_rows(it, percent, least)), f"a {kind}, b {kind}")
 
     groups = components(links.union(more).union(copies).select("a", "b"))
     out = signed.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")).join(groups, "id", "left")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, free_name, materialize, mix, powers, text_bytes
+from .common import CHUNK_BYTES, chunks, free_name, frugal, materialize, mix, pieces, powers, text_bytes
 
 LENGTH = 200
 GRAM = 32
@@ -522,13 +522,11 @@ def reach(rights: np.ndarray, size_r: np.ndarray, lefts: np.ndarray, size_l: np.
     return left[inverse], right[inverse]
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.Table]:
-    """The sorted rows again, in tables of whole groups (key, number) of some thousand rows."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.Table]:
+    """The sorted rows again, in tables of whole groups (key, number): of twice `rows` at most, or of a larger group and `rows`."""
     held: list[pa.RecordBatch] = []
     n = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
         held.append(b)
         n += b.num_rows
         if n < rows:
@@ -571,10 +569,12 @@ def _settled(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 
         def matrix(first: np.ndarray, size: np.ndarray, width: int, back: bool) -> np.ndarray:
             out = np.zeros((len(first), width), np.uint8)
-            ends = np.cumsum(size)
-            inside = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
-            row = np.repeat(np.arange(len(first)), size)
-            out[row, inside] = raw[np.repeat(first, size) + (-inside if back else inside)]
+            for k in range(0, len(first), 1024):  # the places take forty times the bytes
+                a, s = first[k : k + 1024], size[k : k + 1024]
+                ends = np.cumsum(s)
+                inside = np.arange(int(ends[-1])) - np.repeat(ends - s, s)
+                row = np.repeat(np.arange(k, k + len(s)), s)
+                out[row, inside] = raw[np.repeat(a, s) + (-inside if back else inside)]
             return out
 
         rights, lefts = matrix(offsets_a + left, right, wide_r, False), matrix(offsets_a + left - 1, left, wide_l, True)
@@ -690,18 +690,18 @@ def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), hashed.alias("digest"))
     counted = materialize(rows.groupBy("digest").agg(F.count("*").alias("copies")), "texts")
     one = rows.join(counted, "digest")
-    keyed = one.select("row", "text", "digest").mapInArrow(lambda it: _anchor_rows((b.select(["text", "digest"]) for b in it), length, gram, block, local), "key long, salt long, occ binary")
+    keyed = one.select("row", "text", "digest").mapInArrow(frugal(lambda it: _anchor_rows((b.select(["text", "digest"]) for b in it), length, gram, block, local)), "key long, salt long, occ binary")
     asked = (
         keyed.repartition("key", "salt").sortWithinPartitions("key", "salt")
-        .mapInArrow(lambda it: _requests(it, block), "digest binary, ask binary")
+        .mapInArrow(frugal(lambda it: _requests(it, block)), "digest binary, ask binary")
         .groupBy("digest").agg(F.collect_list("ask").alias("asked"))
     )
     met = (
         rows.join(asked, "digest").select("row", "digest", "text", "asked")
-        .mapInArrow(lambda it: _context_rows((b.select(["digest", "text", "asked"]) for b in it), length, gram), _CONTEXT)
+        .mapInArrow(frugal(lambda it: _context_rows((b.select(["digest", "text", "asked"]) for b in it), length, gram)), _CONTEXT)
         .repartition("key", "number").sortWithinPartitions("key", "number")
     )
-    found = materialize(met.mapInArrow(lambda it: _settled(it, length, gram), _FOUND), "spans")
+    found = materialize(met.mapInArrow(frugal(lambda it: _settled(it, length, gram)), _FOUND), "spans")
     local_spans = found.where("h is null").select("digest", "s", "e")
     # a stretch of several blocks: where any has it twice, or two have it at different places, all of them go
     place = F.struct("digest", "s")
@@ -749,7 +749,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for b in batches for p in pieces(b, "text")):
             out: list[list] = [[], [], [], []]
             for text, copies, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("copies").to_pylist(), _cuts(b.column("spans")), strict=True):
                 text = text or b""
@@ -761,7 +761,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = light.schema["id"].dataType.simpleString()
     out = removed_spans(light, "text", length, gram, block, local).select("row.id", "text", "copies", "spans")
-    return out.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(frugal(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def strip(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, local: int | None = None) -> DataFrame:
@@ -770,7 +770,7 @@ def strip(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: i
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for b in batches for p in pieces(b, where)):
             out = []
             texts = b.column(where).cast(pa.binary()).to_pylist()
             for text, copies, spans in zip(texts, b.column(len(schema)).to_pylist(), _cuts(b.column(len(schema) + 1)), strict=True):
@@ -782,4 +782,4 @@ def strip(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: i
     got = removed_spans(docs, text_col, length, gram, block, local)
     copies, spans = free_name(docs, "copies"), free_name(docs, "spans")
     own = [(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
-    return got.select(*own, F.col("copies").alias(copies), F.col("spans").alias(spans)).mapInArrow(run, schema)
+    return got.select(*own, F.col("copies").alias(copies), F.col("spans").alias(spans)).mapInArrow(frugal(run), schema)

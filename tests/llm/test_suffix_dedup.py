@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from morphlake.llm import suffix_dedup as S
@@ -118,3 +120,30 @@ def test_long_text_and_clashing_names(spark):
     got = {r.doc_id: r for r in S.strip(df).collect()}
     assert got[2].text == "xy" and (got[2].copies, got[2].Spans, got[2].digest) == (4, 5, 6)
     assert got[1].text == long[:700_000] + long[701_000:]
+
+
+def test_groups_are_settled_in_small_pieces():
+    n, rng = 10_000, np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 368, np.uint8)) for _ in range(n // 2)]
+    rows = {
+        "key": pa.array(np.repeat(np.arange(n // 2), 2)), "number": pa.array(np.zeros(n, np.int64)), "digest": pa.array([i.to_bytes(16, "little") for i in range(n)], pa.binary()),
+        "pos": pa.array(np.full(n, 168, np.int32)), "left": pa.array(np.full(n, 168, np.int32)), "context": pa.array([texts[i // 2] for i in range(n)], pa.binary()),
+    }
+    tracemalloc.start()
+    found = list(S._settled(iter([pa.RecordBatch.from_pydict(rows)]), S.LENGTH, S.GRAM))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    spans = [(d, s, e) for b in found for d, s, e in zip(*(b.column(c).to_pylist() for c in ("digest", "s", "e")), strict=True)]
+    assert sorted(spans) == sorted((i.to_bytes(16, "little"), 0, 368) for i in range(n))
+    assert peak < 30 << 20, peak
+
+
+def test_whole_groups_stay_whole():
+    sizes = [1, 5000, 2, 3000, 1, 1, 9000, 4]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    batches = pa.table({"key": key, "number": np.zeros(len(key), np.int64)}).to_batches(max_chunksize=10_000)
+    tables = list(S._whole_groups(iter(batches), 2048))
+    assert np.concatenate([t.column("key").to_numpy() for t in tables]).tolist() == key.tolist()
+    own = [set(t.column("key").to_numpy().tolist()) for t in tables]
+    assert sum(map(len, own)) == len(sizes)
+    assert all(t.num_rows <= 9000 + 2048 for t in tables)
